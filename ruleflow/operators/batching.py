@@ -24,14 +24,22 @@ def length_batches(
     return placed.withColumn("batch_id", F.floor(F.col("position") / batch_size)).drop("_key", "_rank", "group_rows")
 
 
-def with_batch_width(df: DataFrame, length: Column, name: str = "width") -> DataFrame:
-    """Longest sequence of the batch; a batch holds a few rows only."""
-    return df.withColumn(name, F.max(length).over(Window.partitionBy("batch_id")))
+def with_batch_width(df: DataFrame, length: str = "capped_length") -> DataFrame:
+    """Longest sequence of each batch; a batch holds a few rows only."""
+    return df.withColumn("width", F.max(length).over(Window.partitionBy("batch_id")))
 
 
-def left_pad_batches(df: DataFrame, ids: str = "input_ids", labels: str | None = None) -> DataFrame:
-    """Left padding to the batch's longest sequence, with mask and position ids."""
-    wide = with_batch_width(df, F.size(ids))
+def batch_sequences(
+    df: DataFrame, ids: str, batch_size: int, max_length: int, row_id: str = "row_id", descending: bool = False
+) -> DataFrame:
+    """``df`` with ``batch_id`` and ``width``. Batches are formed on ids and lengths; the arrays move once."""
+    lengths = df.select(row_id, F.size(ids).alias("length"))
+    batches = with_batch_width(length_batches(lengths, "length", batch_size, max_length, row_id, descending))
+    return df.join(batches.select(row_id, "batch_id", "width"), row_id)
+
+
+def pad_left(df: DataFrame, ids: str, labels: str | None = None) -> DataFrame:
+    """Left padding to the batch width, with mask and position ids."""
     ids_col, width = F.col(ids), F.col("width")
     columns = {
         "attention_mask": S.pad_left(S.ones(ids_col), width, 0),
@@ -40,14 +48,14 @@ def left_pad_batches(df: DataFrame, ids: str = "input_ids", labels: str | None =
     }
     if labels is not None:
         columns["padded_labels"] = S.pad_left(F.col(labels), width, S.IGNORED)
-    return wide.withColumns(columns)
+    return df.withColumns(columns)
 
 
-def right_pad_batches(df: DataFrame, ids: str = "input_ids", multiple: int = 8) -> DataFrame:
-    """Right padding to the batch's longest sequence rounded up, with its mask."""
-    wide = with_batch_width(df, F.size(ids), "longest").withColumn("width", S.round_up(F.col("longest"), multiple))
+def pad_right(df: DataFrame, ids: str, multiple: int = 8) -> DataFrame:
+    """Right padding to the batch width rounded up to a multiple, with its mask."""
+    rounded = df.withColumn("width", S.round_up(F.col("width"), multiple))
     ids_col, width = F.col(ids), F.col("width")
-    return wide.withColumns(
+    return rounded.withColumns(
         {
             "attention_mask": S.pad_right(S.ones(ids_col), width, 0),
             "padded_ids": S.pad_right(ids_col, width, S.PAD_ID),

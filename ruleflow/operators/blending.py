@@ -18,6 +18,12 @@ def weight_of(slot: Column, weights: Mapping[int, float]) -> Column:
     return F.create_map(*pairs)[slot]
 
 
+def distinct_slots() -> Column:
+    """Number of different slots in a group, from one bit per slot; slot numbers stay below 63."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").cast("int"))
+    return F.bit_count(F.bit_or(bit)).cast("long")
+
+
 def blend(
     predictions: DataFrame,
     weights: Mapping[int, float] = DEFAULT_WEIGHTS,
@@ -38,7 +44,7 @@ def blend(
         F.sum(weight_of(F.col("slot"), weights) * F.col(score)).alias("total"),
         F.count(F.lit(1)).alias("rows"),
         F.count(score).alias("scored"),
-        F.bit_count(F.bit_or(F.shiftleft(F.lit(1), F.col("slot")))).alias("slots"),
+        distinct_slots().alias("slots"),
     )
     twice = F.raise_error(F.concat(F.lit("more than one prediction in a slot for row_id "), F.col("row_id").cast("string")))
     aligned = F.when(F.col("rows") > F.col("slots"), twice.cast("boolean")).otherwise(F.col("slots") == slots)

@@ -80,7 +80,9 @@ def _accent_table() -> tuple[str, str, str]:
         if following != code + 1:
             ranges.append(f"\\x{{{start:x}}}-\\x{{{code:x}}}")
             start = None
-    return "".join(source + dropped), "".join(target), "[" + "".join(ranges) + "]"
+    # The look-ahead lets the many characters below the first of the class fail on one comparison.
+    several_class = f"(?=[^\\x00-\\x{{{several[0] - 1:x}}}])[" + "".join(ranges) + "]"
+    return "".join(source + dropped), "".join(target), several_class
 
 
 def strip_accents_py(text: str) -> str:
@@ -96,15 +98,14 @@ def _strip_accents_arrow(texts: pd.Series) -> pd.Series:
 def strip_accents(col: Column) -> Column:
     """NFKD accent stripping.
 
-    Runs in the JVM through ``translate``. Only rows holding a character that becomes several
-    (ligatures, Hangul, fractions) are handed to Python; every other row passes NULL there.
+    Pure ASCII stays as it is and most other text goes through ``translate``, both in the JVM. Only rows
+    with a character that becomes several (ligatures, Hangul, fractions) are handed to Python; every
+    other row passes NULL there.
     """
     source, target, several = _accent_table()
-    special = col.rlike(several)
-    return F.coalesce(
-        _strip_accents_arrow(F.when(special, col)),
-        F.translate(col, source, target),
-    )
+    special = F.when(col.rlike(several), col)
+    plain = F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(col, source, target)).otherwise(col)
+    return F.coalesce(_strip_accents_arrow(special), plain)
 
 
 def fold_text(col: Column) -> Column:

@@ -1,0 +1,118 @@
+"""Balanced logistic regression on sparse TF-IDF rows, with sigmoid calibration."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ruleflow.functions.scores import sigmoid
+from ruleflow.operators.folds import class_weights
+from ruleflow.storage import scratch_path
+
+# Inverse regularisation strength and iteration limit.
+STRENGTH = 2.0
+ITERATIONS = 2_000
+
+
+@dataclass(frozen=True)
+class Calibrated:
+    """A fitted classifier and the sigmoid that turns its margin into a probability."""
+
+    model: LogisticRegressionModel
+    slope: float
+    intercept: float
+
+
+def sparse_vectors(rows: DataFrame, weights: DataFrame, size: int, row_id: str = "row_id") -> DataFrame:
+    """``rows`` with a sparse ``features`` vector; the last position holds a constant 1 for the intercept.
+
+    A row's weights are gathered as sorted arrays; a vocabulary bounds their number. The arrays are
+    written in the layout that the vector type is stored in and read back as vectors, so no row
+    passes through Python. Rows without a known term keep the constant alone.
+    """
+    gathered = weights.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("cells"))
+    cells = F.coalesce(F.col("cells"), F.array().cast("array<struct<index:int,weight:double>>"))
+    vector = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).alias("size"),
+        F.concat(cells["index"], F.array(F.lit(size - 1))).alias("indices"),
+        F.concat(cells["weight"], F.array(F.lit(1.0))).alias("values"),
+    )
+    joined = rows.join(gathered, row_id, "left").select(*rows.columns, vector.alias("features"))
+    path = scratch_path(rows.sparkSession, "vectors")
+    joined.write.parquet(path)
+    schema = StructType([*rows.schema.fields, StructField("features", VectorUDT())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def margin(raw: str = "rawPrediction") -> Column:
+    return vector_to_array(F.col(raw))[1]
+
+
+def fit_balanced(train: DataFrame, label: str = "label") -> LogisticRegressionModel:
+    """L2-regularised fit with balanced class weights.
+
+    Balanced weights sum to the row count, so a per-row strength C becomes 1 / (C * rows). The
+    intercept is the constant feature and is regularised like the others.
+    """
+    classes = {row[label]: row for row in class_weights(train, label).collect()}  # one row per class
+    rows = sum(row["n"] for row in classes.values())
+    weight = F.coalesce(*[F.when(F.col(label) == value, row["weight"]) for value, row in classes.items()])
+    return LogisticRegression(
+        featuresCol="features", labelCol=label, weightCol="weight", maxIter=ITERATIONS, tol=1e-6,
+        regParam=1.0 / (STRENGTH * rows), elasticNetParam=0.0, standardization=False, fitIntercept=False,
+    ).fit(train.withColumn("weight", weight))
+
+
+def soft_target_rows(df: DataFrame, label: str = "label") -> DataFrame:
+    """Each row twice, as label 1 with its soft target as weight and as label 0 with the rest.
+
+    The soft target of a positive is (n1 + 1) / (n1 + 2), that of a negative 1 / (n0 + 2).
+    """
+    counts = df.agg(F.struct(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0"))).scalar()
+    target = F.when(F.col(label) == 1, (counts["n1"] + 1) / (counts["n1"] + 2)).otherwise(1 / (counts["n0"] + 2))
+    sides = F.array(
+        F.struct(F.lit(1.0).alias("side"), target.alias("weight")),
+        F.struct(F.lit(0.0).alias("side"), (1 - target).alias("weight")),
+    )
+    return df.select("margin", F.inline(sides))
+
+
+def fit_sigmoid(scored: DataFrame, label: str = "label") -> tuple[float, float]:
+    """Slope and intercept of the calibration sigmoid on ``margin``."""
+    doubled = soft_target_rows(scored, label)
+    rows = VectorAssembler(inputCols=["margin"], outputCol="features").transform(doubled)
+    model = LogisticRegression(
+        featuresCol="features", labelCol="side", weightCol="weight", maxIter=200, tol=1e-8, regParam=0.0
+    ).fit(rows)
+    return float(model.coefficients[0]), float(model.intercept)
+
+
+def fit_calibrated(train: DataFrame, inner: str = "inner", folds: int = 3, label: str = "label") -> list[Calibrated]:
+    """One classifier per inner fold, fitted on the other folds and calibrated on its own."""
+    fitted = []
+    for fold in range(folds):
+        model = fit_balanced(train.filter(F.col(inner) != fold), label)
+        held = model.transform(train.filter(F.col(inner) == fold)).select(label, margin().alias("margin"))
+        fitted.append(Calibrated(model, *fit_sigmoid(held, label)))
+    return fitted
+
+
+def predict_mean(df: DataFrame, models: Sequence[Calibrated], out: str = "probability") -> DataFrame:
+    """Mean of the calibrated probabilities, all models in one pass over the rows."""
+    scored, parts = df, []
+    for i, fitted in enumerate(models):
+        raw = f"_raw{i}"
+        columns = {fitted.model.rawPredictionCol: raw, fitted.model.probabilityCol: "", fitted.model.predictionCol: ""}
+        scored = fitted.model.copy(columns).transform(scored)
+        parts.append(sigmoid(F.lit(fitted.slope) * margin(raw) + F.lit(fitted.intercept)))
+    mean = sum(parts[1:], parts[0]) / len(parts)
+    return scored.withColumn(out, mean).drop(*[f"_raw{i}" for i in range(len(models))])

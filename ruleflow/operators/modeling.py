@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -21,6 +24,11 @@ from ruleflow.storage import scratch_path
 STRENGTH = 2.0
 ITERATIONS = 2_000
 
+# Rows per task of an iterative fit; an iteration over fewer rows is all scheduling.
+ROWS_PER_TASK = 5_000
+
+T, R = TypeVar("T"), TypeVar("R")
+
 
 @dataclass(frozen=True)
 class Calibrated:
@@ -31,6 +39,13 @@ class Calibrated:
     intercept: float
 
 
+def side_by_side(function: Callable[[T], R], items: Iterable[T], parallelism: int) -> list[R]:
+    """Start independent Spark jobs from a few driver threads, as CrossValidator does; results in order."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(inherit(function), items))
+
+
 def sparse_vectors(rows: DataFrame, weights: DataFrame, size: int, row_id: str = "row_id") -> DataFrame:
     """``rows`` with a sparse ``features`` vector; the last position holds a constant 1 for the intercept.
 
@@ -69,7 +84,7 @@ def fit_balanced(train: DataFrame, label: str = "label") -> LogisticRegressionMo
     return LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", maxIter=ITERATIONS, tol=1e-6,
         regParam=1.0 / (STRENGTH * rows), elasticNetParam=0.0, standardization=False, fitIntercept=False,
-    ).fit(train.withColumn("weight", weight))
+    ).fit(train.withColumn("weight", weight).coalesce(rows // ROWS_PER_TASK + 1))
 
 
 def soft_target_rows(df: DataFrame, label: str = "label") -> DataFrame:
@@ -96,14 +111,20 @@ def fit_sigmoid(scored: DataFrame, label: str = "label") -> tuple[float, float]:
     return float(model.coefficients[0]), float(model.intercept)
 
 
-def fit_calibrated(train: DataFrame, inner: str = "inner", folds: int = 3, label: str = "label") -> list[Calibrated]:
-    """One classifier per inner fold, fitted on the other folds and calibrated on its own."""
-    fitted = []
-    for fold in range(folds):
+def fit_calibrated(
+    train: DataFrame, inner: str = "inner", folds: int = 3, label: str = "label", parallelism: int = 3
+) -> list[Calibrated]:
+    """One classifier per inner fold, fitted on the other folds and calibrated on its own.
+
+    Each running fit caches its rows; lower ``parallelism`` where memory is short.
+    """
+
+    def fit(fold: int) -> Calibrated:
         model = fit_balanced(train.filter(F.col(inner) != fold), label)
         held = model.transform(train.filter(F.col(inner) == fold)).select(label, margin().alias("margin"))
-        fitted.append(Calibrated(model, *fit_sigmoid(held, label)))
-    return fitted
+        return Calibrated(model, *fit_sigmoid(held, label))
+
+    return side_by_side(fit, range(folds), parallelism)
 
 
 def predict_mean(df: DataFrame, models: Sequence[Calibrated], out: str = "probability") -> DataFrame:

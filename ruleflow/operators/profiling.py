@@ -60,3 +60,18 @@ def quality_gates(frame: DataFrame, required: Sequence[str] = ("body", "rule", "
         bad = ~F.col("rule_violation").cast("string").isin("0", "1")
         gates.append(F.count_if(bad).alias("bad_label"))
     return frame.agg(*gates)
+
+
+def manifest(frame: DataFrame, train: DataFrame, test: DataFrame, repeats: int) -> DataFrame:
+    """One row describing a run: table sizes, the frame's rows per source, and the copy setting."""
+    per_source = frame.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return per_source.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("constructed_training_rows"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("constructed_source_counts"),
+    ).withColumns(
+        {
+            "train_rows": train.agg(F.count(F.lit(1))).scalar(),
+            "test_rows": test.agg(F.count(F.lit(1))).scalar(),
+            "test_example_repeats": F.lit(repeats),
+        }
+    )

@@ -18,6 +18,8 @@ TEST_COLUMNS = (
 TEXT_NAMES = ("body", "comment", "text")
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# The last option defaults to the NUL character for this quoting, which would lose NULs before a quote.
+READ_OPTIONS = {**CSV_OPTIONS, "charToEscapeQuoteEscaping": '"'}
 
 
 def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
@@ -44,7 +46,7 @@ def read_comments(
     Columns go by header name and stay strings unless ``types`` names a type. Quoted line breaks make a
     file one split, so large inputs should come as many files; ``multi_line=False`` splits inside files.
     """
-    raw = spark.read.options(**CSV_OPTIONS).csv(path, multiLine=multi_line)
+    raw = spark.read.options(**READ_OPTIONS).csv(path, multiLine=multi_line)
     require_columns(raw, required, path)
     casts = types or {}
     return raw.select(

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleflow.functions.text import to_label
-from ruleflow.sources.comments import CSV_OPTIONS
+from ruleflow.sources.comments import READ_OPTIONS
 
 
 def read_predictions(spark: SparkSession, folder: str, slots: Iterable[int]) -> DataFrame:
     """``slot, row_id, rule_violation`` from those of ``submission<slot>.csv`` that exist; none is an error."""
     names = ",".join(f"submission{slot}.csv" for slot in slots)
     try:
-        raw = spark.read.options(**CSV_OPTIONS).csv(f"{folder}/{{{names}}}")
+        raw = spark.read.options(**READ_OPTIONS).csv(f"{folder}/{{{names}}}")
     except AnalysisException as error:
         raise FileNotFoundError(f"no prediction file in {folder}") from error
     slot = F.regexp_extract("_metadata.file_path", r"submission(\d+)\.csv", 1).cast("int")

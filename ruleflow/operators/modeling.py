@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ruleflow.functions.scores import sigmoid
 from ruleflow.operators.folds import class_weights
@@ -47,7 +47,11 @@ def side_by_side(function: Callable[[T], R], items: Iterable[T], parallelism: in
 
 
 def sparse_vectors(rows: DataFrame, weights: DataFrame, size: int, row_id: str = "row_id") -> DataFrame:
-    """``rows`` with a sparse ``features`` vector; the last position holds a constant 1 for the intercept.
+    """``rows`` with a sparse ``features`` vector and its ``sign``.
+
+    The last position stands for the intercept and holds a 1, so that the intercept is regularised like
+    the coefficients. The estimator ignores a column that never varies, hence every other row (by a
+    digest of its id) is mirrored: features and label both change side, which leaves its loss the same.
 
     A row's weights are gathered as sorted arrays; a vocabulary bounds their number. The arrays are
     written in the layout that the vector type is stored in and read back as vectors, so no row
@@ -55,36 +59,39 @@ def sparse_vectors(rows: DataFrame, weights: DataFrame, size: int, row_id: str =
     """
     gathered = weights.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("cells"))
     cells = F.coalesce(F.col("cells"), F.array().cast("array<struct<index:int,weight:double>>"))
+    sign = F.when(F.pmod(F.xxhash64(row_id), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     vector = F.struct(
         F.lit(0).cast("byte").alias("type"),
         F.lit(size).alias("size"),
         F.concat(cells["index"], F.array(F.lit(size - 1))).alias("indices"),
-        F.concat(cells["weight"], F.array(F.lit(1.0))).alias("values"),
+        F.transform(F.concat(cells["weight"], F.array(F.lit(1.0))), lambda v: v * F.col("sign")).alias("values"),
     )
-    joined = rows.join(gathered, row_id, "left").select(*rows.columns, vector.alias("features"))
+    joined = rows.join(gathered, row_id, "left").withColumn("sign", sign)
     path = scratch_path(rows.sparkSession, "vectors")
-    joined.write.parquet(path)
-    schema = StructType([*rows.schema.fields, StructField("features", VectorUDT())])
+    joined.select(*rows.columns, "sign", vector.alias("features")).write.parquet(path)
+    schema = StructType([*rows.schema.fields, StructField("sign", DoubleType()), StructField("features", VectorUDT())])
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def margin(raw: str = "rawPrediction") -> Column:
-    return vector_to_array(F.col(raw))[1]
+    """The margin of the row itself, with its mirroring undone."""
+    return F.col("sign") * vector_to_array(F.col(raw))[1]
 
 
 def fit_balanced(train: DataFrame, label: str = "label") -> LogisticRegressionModel:
     """L2-regularised fit with balanced class weights.
 
-    Balanced weights sum to the row count, so a per-row strength C becomes 1 / (C * rows). The
-    intercept is the constant feature and is regularised like the others.
+    Balanced weights sum to the row count, so a per-row strength C becomes 1 / (C * rows).
     """
     classes = {row[label]: row for row in class_weights(train, label).collect()}  # one row per class
     rows = sum(row["n"] for row in classes.values())
     weight = F.coalesce(*[F.when(F.col(label) == value, row["weight"]) for value, row in classes.items()])
+    side = F.when(F.col("sign") > 0, F.col(label)).otherwise(1 - F.col(label))
+    weighted = train.withColumns({"weight": weight, "side": side})
     return LogisticRegression(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=ITERATIONS, tol=1e-6,
+        featuresCol="features", labelCol="side", weightCol="weight", maxIter=ITERATIONS,
         regParam=1.0 / (STRENGTH * rows), elasticNetParam=0.0, standardization=False, fitIntercept=False,
-    ).fit(train.withColumn("weight", weight).coalesce(rows // ROWS_PER_TASK + 1))
+    ).fit(weighted.coalesce(rows // ROWS_PER_TASK + 1))
 
 
 def soft_target_rows(df: DataFrame, label: str = "label") -> DataFrame:

@@ -61,48 +61,47 @@ def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled comments numbered inside (rule, label)."""
+    """Ids of labelled comments, numbered inside (rule, label) by a digest of the id; ``n`` per (rule, label)."""
     usable = train(spark, sf_dir).filter(F.col("rule_violation").isin("0", "1"))
-    keyed = usable.select("rule", "rule_violation", "body", F.md5(F.col("row_id").cast("string")).alias("key"))
+    keyed = usable.select(
+        "rule", "rule_violation", F.col("row_id").alias("example_id"), F.md5(F.col("row_id").cast("string")).alias("key")
+    )
     placed = hash_positions(keyed, "key", ["rule", "rule_violation"])
     return placed.select(
-        "rule", "rule_violation", "body",
-        F.col("position").cast("int").alias("idx"), F.col("group_rows").alias("n"),
+        "rule", "rule_violation", "example_id", F.col("position").alias("idx"), F.col("group_rows").alias("n")
     )
 
 
 def test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to score with two positive and two negative examples of their rule.
 
-    Each row asks the pool for up to four numbered bodies through one equi-join; the numbers spread a
-    large rule over all keys.
+    Each row asks the pool for up to four numbered ids through one equi-join; the numbers spread a large
+    rule over all keys. The texts of the ids are fetched after that.
     """
-    rows, examples = unlabelled(spark, sf_dir), pool(spark, sf_dir)
-    sizes = examples.groupBy("rule").agg(
-        F.max(F.when(F.col("rule_violation") == "1", F.col("n"))).alias("np"),
-        F.max(F.when(F.col("rule_violation") == "0", F.col("n"))).alias("nn"),
+    rows, labelled = unlabelled(spark, sf_dir), train(spark, sf_dir)
+    sizes = labelled.groupBy("rule").agg(
+        F.count_if(F.col("rule_violation") == "1").alias("np"), F.count_if(F.col("rule_violation") == "0").alias("nn")
     )
+
     def wanted(name: str, label: str, step: int, size: str):
-        return F.struct(
-            F.lit(name).alias("example"),
-            F.lit(label).alias("rule_violation"),
-            ((F.col("row_id") + step) % F.col(size)).cast("int").alias("idx"),
-        )
+        number = F.when(F.col(size) > 0, (F.col("row_id") + step) % F.greatest(F.col(size), F.lit(1)))
+        return F.struct(F.lit(name).alias("example"), F.lit(label).alias("rule_violation"), number.alias("idx"))
 
     wishes = F.array(
         wanted(EXAMPLE_COLUMNS[0], "1", 0, "np"), wanted(EXAMPLE_COLUMNS[1], "1", 1, "np"),
         wanted(EXAMPLE_COLUMNS[2], "0", 0, "nn"), wanted(EXAMPLE_COLUMNS[3], "0", 1, "nn"),
     )
-    requests = (
-        rows.select("row_id", "rule").join(sizes, "rule")
-        .select("row_id", "rule", F.inline(wishes))
-        .dropna(subset=["idx"])
+    requests = rows.select("row_id", "rule").join(sizes, "rule").select("row_id", "rule", F.inline(wishes))
+    chosen = requests.dropna(subset=["idx"]).join(pool(spark, sf_dir).drop("n"), ["rule", "rule_violation", "idx"])
+    texts = labelled.select(F.col("row_id").alias("example_id"), F.col("body").alias("example_body"))
+    answered = chosen.select("row_id", "example", "example_id").join(texts, "example_id")
+    # At most four entries per row.
+    gathered = answered.groupBy("row_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("example", "example_body"))).alias("found")
     )
-    answered = requests.join(examples.drop("n"), ["rule", "rule_violation", "idx"])
-    chosen = answered.groupBy("row_id").agg(
-        *[F.max(F.when(F.col("example") == c, F.col("body"))).alias(c) for c in EXAMPLE_COLUMNS]
+    return rows.join(gathered, "row_id", "left").select(
+        "row_id", "body", "subreddit", "rule", *[F.col("found")[c].alias(c) for c in EXAMPLE_COLUMNS]
     )
-    return rows.join(chosen, "row_id", "left").select("row_id", "body", "subreddit", "rule", *EXAMPLE_COLUMNS)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

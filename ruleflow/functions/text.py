@@ -41,6 +41,14 @@ def clean_text(col: Column) -> Column:
     return F.btrim(F.replace(unix, F.lit("\0"), F.lit("")), F.lit(WHITESPACE))
 
 
+def has_text(col: Column) -> Column:
+    """Whether ``clean_text`` leaves anything: a character that is neither white space nor NUL.
+
+    Stops at the first such character, so a filter on it costs far less than cleaning the whole text.
+    """
+    return col.rlike("[^\\x{0}" + WHITESPACE_RUN[1:-2] + "]")
+
+
 def to_label(col: Column) -> Column:
     """Parse a label as a number; anything that is not a plain number becomes NULL."""
     text = col.cast("string")

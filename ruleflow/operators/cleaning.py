@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleflow.functions.text import clean_text, to_label
+from ruleflow.functions.text import clean_text, has_text, to_label
 
 TEXT_COLUMNS = ("body", "rule")
 
@@ -33,5 +33,12 @@ def keep_valid(df: DataFrame, columns: Sequence[str] = TEXT_COLUMNS, label: str
     return df.filter(valid).withColumn(label, F.col(label).cast("byte"))
 
 
-def clean_labelled_rows(df: DataFrame) -> DataFrame:
-    return keep_valid(drop_missing(coerce_label(clean_texts(df))))
+def clean_labelled_rows(df: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> DataFrame:
+    """Clean, drop missing, keep valid in one: the same rows as the steps above in that order.
+
+    The cheap checks come first and look at the raw texts, so only rows that stay are cleaned, once.
+    """
+    labelled = coerce_label(df).filter(F.col("rule_violation").isin(0, 1))
+    for column in columns:
+        labelled = labelled.filter(has_text(F.col(column)))
+    return clean_texts(labelled, columns).withColumn("rule_violation", F.col("rule_violation").cast("byte"))

@@ -39,8 +39,8 @@ def drop_missing(spark, sf_dir):
 SELECT row_id, body, rule, CAST(label AS TINYINT) AS rule_violation FROM c
 WHERE length(body) > 0 AND length(rule) > 0 AND label IN (0, 1)""")
 def keep_valid(spark, sf_dir):
-    rows = cleaning.clean_labelled_rows(fixtures.comments(spark, sf_dir))
-    return rows.select("row_id", "body", "rule", "rule_violation")
+    rows = cleaning.coerce_label(cleaning.clean_texts(fixtures.comments(spark, sf_dir)))
+    return cleaning.keep_valid(cleaning.drop_missing(rows)).select("row_id", "body", "rule", "rule_violation")
 
 
 @query("b5_fill_text", TEST + """

@@ -5,6 +5,7 @@ Long form is ``row_id, block, term, tf``; a weight table carries ``index`` and `
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,20 +32,22 @@ BLOCKS = (WORD_BLOCK, CHAR_BLOCK)
 CHAR_SIZES = (3, 4, 5)
 
 
-def folded_rows(df: DataFrame, text: str, row_id: str = "row_id") -> DataFrame:
-    """``row_id`` and analyser text, hash-partitioned by row.
+def folded_rows(df: DataFrame, text: str, row_id: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``row_id`` and analyser text, hash-partitioned by row; ``keep`` names row attributes to carry along.
 
     This is the only exchange of the n-gram stages: all n-grams of a row are made and counted where its
     text is, so the text moves once and the much larger n-gram table does not. The partition number is
     given because adaptive merging would go by the size of the texts, not of their n-grams.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(row_id).alias("row_id"), fold_text(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    folded = fold_text(F.coalesce(F.col(text), F.lit("")))
+    rows = df.select(F.col(row_id).alias("row_id"), *keep, folded.alias("text"))
     return rows.repartition(partitions, "row_id")
 
 
 def word_counts(folded: DataFrame) -> DataFrame:
     """Words and pairs of neighbouring words."""
+    row = [c for c in folded.columns if c != "text"]
     pairs = F.when(
         F.size("tokens") > 1,
         F.zip_with(
@@ -53,9 +56,9 @@ def word_counts(folded: DataFrame) -> DataFrame:
             lambda left, right: F.concat(left, F.lit(" "), right),
         ),
     ).otherwise(F.array().cast("array<string>"))
-    tokens = folded.select("row_id", words(F.col("text")).alias("tokens"))
-    terms = tokens.select("row_id", F.explode(F.concat("tokens", pairs)).alias("term"))
-    return terms.groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = folded.select(*row, words(F.col("text")).alias("tokens"))
+    terms = tokens.select(*row, F.explode(F.concat("tokens", pairs)).alias("term"))
+    return terms.groupBy(*row, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def char_counts(folded: DataFrame) -> DataFrame:
@@ -64,24 +67,27 @@ def char_counts(folded: DataFrame) -> DataFrame:
     The n-grams of a word depend on the word alone, so a row's words are counted first and each
     distinct word is cut once. A padded word shorter than n has no n-gram of that size.
     """
-    pieces = folded.select("row_id", F.explode(F.split("text", WHITESPACE_RUN)).alias("word")).filter("word != ''")
-    counted = pieces.groupBy("row_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    padded = counted.select("row_id", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("word"))
+    row = [c for c in folded.columns if c != "text"]
+    pieces = folded.select(*row, F.explode(F.split("text", WHITESPACE_RUN)).alias("word")).filter("word != ''")
+    counted = pieces.groupBy(*row, "word").agg(F.count(F.lit(1)).alias("n"))
+    padded = counted.select(*row, "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("word"))
     sized = padded.select("*", F.explode(F.array(*map(F.lit, CHAR_SIZES))).alias("size"))
     room = F.length("word") - F.col("size")
     cut = sized.filter(room >= 0).select("*", F.explode(F.sequence(F.lit(1), room + 1)).alias("start"))
-    grams = cut.select("row_id", "n", F.substring("word", F.col("start"), F.col("size")).alias("term"))
-    return grams.groupBy("row_id", "term").agg(F.sum("n").alias("tf"))
+    grams = cut.select(*row, "n", F.substring("word", F.col("start"), F.col("size")).alias("term"))
+    return grams.groupBy(*row, "term").agg(F.sum("n").alias("tf"))
 
 
-def term_counts(df: DataFrame, text: str, row_id: str = "row_id") -> DataFrame:
-    """Both blocks side by side."""
-    folded = folded_rows(df, text, row_id)
-    tagged = [
-        counts.select("row_id", F.lit(block.name).alias("block"), "term", "tf")
-        for block, counts in ((WORD_BLOCK, word_counts(folded)), (CHAR_BLOCK, char_counts(folded)))
-    ]
-    return tagged[0].unionByName(tagged[1])
+def block_counts(folded: DataFrame) -> list[DataFrame]:
+    """The long tables of both blocks, word block first."""
+    counted = ((WORD_BLOCK, word_counts(folded)), (CHAR_BLOCK, char_counts(folded)))
+    return [counts.withColumn("block", F.lit(block.name)) for block, counts in counted]
+
+
+def term_counts(df: DataFrame, text: str, row_id: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Both blocks in one table."""
+    words_, chars = block_counts(folded_rows(df, text, row_id, keep))
+    return words_.unionByName(chars)
 
 
 def term_statistics(counts: DataFrame) -> DataFrame:
@@ -110,18 +116,21 @@ def inverse_frequency(df: Column, rows: Column | int) -> Column:
     return F.log((F.lit(1.0) + rows) / (F.lit(1.0) + df)) + F.lit(1.0)
 
 
-def tfidf_weights(counts: DataFrame, vocabulary: DataFrame, rows: Column | int) -> DataFrame:
-    """``weight`` per row and kept term, of unit length per row and block.
+def raw_weights(counts: DataFrame, vocabulary: DataFrame, rows: Column | int) -> DataFrame:
+    """``raw`` weight per row and kept term, before scaling to unit length.
 
     The vocabulary has at most ``max_features`` terms per block whatever the data's size, so it is
     broadcast; the counts keep their partitioning by row through the join.
     """
     terms = vocabulary.withColumn("idf", inverse_frequency(F.col("df"), rows)).drop("df", "tf")
-    raw = counts.join(F.broadcast(terms), ["block", "term"]).withColumn(
-        "raw", (F.lit(1.0) + F.log("tf")) * F.col("idf")
-    )
+    joined = counts.join(F.broadcast(terms), ["block", "term"])
+    return joined.withColumn("raw", (F.lit(1.0) + F.log("tf")) * F.col("idf")).drop("idf", "tf")
+
+
+def tfidf_weights(counts: DataFrame, vocabulary: DataFrame, rows: Column | int) -> DataFrame:
+    """``weight`` per row and kept term, of unit length per row and block."""
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_id", "block")))
-    return raw.withColumn("weight", F.col("raw") / length).drop("raw", "idf", "tf")
+    return raw_weights(counts, vocabulary, rows).withColumn("weight", F.col("raw") / length).drop("raw")
 
 
 def index_vocabulary(vocabulary: DataFrame) -> DataFrame:

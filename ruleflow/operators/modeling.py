@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ruleflow.functions.scores import sigmoid
+from ruleflow.operators.features import BLOCKS
 from ruleflow.operators.folds import class_weights
 from ruleflow.storage import scratch_path
 
@@ -46,25 +47,34 @@ def side_by_side(function: Callable[[T], R], items: Iterable[T], parallelism: in
         return list(pool.map(inherit(function), items))
 
 
-def sparse_vectors(rows: DataFrame, weights: DataFrame, size: int, row_id: str = "row_id") -> DataFrame:
-    """``rows`` with a sparse ``features`` vector and its ``sign``.
+def sparse_vectors(rows: DataFrame, raw: DataFrame, size: int, row_id: str = "row_id") -> DataFrame:
+    """``rows`` with a sparse ``features`` vector, of unit length per block, and its ``sign``.
 
     The last position stands for the intercept and holds a 1, so that the intercept is regularised like
     the coefficients. The estimator ignores a column that never varies, hence every other row (by a
     digest of its id) is mirrored: features and label both change side, which leaves its loss the same.
 
-    A row's weights are gathered as sorted arrays; a vocabulary bounds their number. The arrays are
-    written in the layout that the vector type is stored in and read back as vectors, so no row
+    A row's raw weights are gathered once, as a sorted array that the vocabulary bounds, and scaled in
+    place by the sums of squares from the same aggregation. The arrays are written in the layout that the vector type is stored in and read back as vectors, so no row
     passes through Python. Rows without a known term keep the constant alone.
     """
-    gathered = weights.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("cells"))
-    cells = F.coalesce(F.col("cells"), F.array().cast("array<struct<index:int,weight:double>>"))
+    squares = F.col("raw") * F.col("raw")
+    gathered = raw.groupBy(row_id).agg(
+        F.array_sort(F.collect_list(F.struct("index", "block", "raw"))).alias("cells"),
+        *[F.sum(F.when(F.col("block") == block.name, squares)).alias(f"_{block.name}") for block in BLOCKS],
+    )
+    cells = F.coalesce(F.col("cells"), F.array().cast("array<struct<index:int,block:string,raw:double>>"))
     sign = F.when(F.pmod(F.xxhash64(row_id), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+    def scaled(cell: Column) -> Column:
+        lengths = [F.when(cell["block"] == block.name, F.sqrt(f"_{block.name}")) for block in BLOCKS]
+        return F.col("sign") * cell["raw"] / F.coalesce(*lengths)
+
     vector = F.struct(
         F.lit(0).cast("byte").alias("type"),
         F.lit(size).alias("size"),
         F.concat(cells["index"], F.array(F.lit(size - 1))).alias("indices"),
-        F.transform(F.concat(cells["weight"], F.array(F.lit(1.0))), lambda v: v * F.col("sign")).alias("values"),
+        F.concat(F.transform(cells, scaled), F.array(F.col("sign"))).alias("values"),
     )
     joined = rows.join(gathered, row_id, "left").withColumn("sign", sign)
     path = scratch_path(rows.sparkSession, "vectors")

@@ -49,7 +49,8 @@ def hash_positions(
 
     ``key`` is a hexadecimal digest, unique per row. Its first ``digits`` digits are the bucket: 4,096
     even buckets per group at the default, whatever the group's size. With ``leading`` columns of few
-    values (a capped length) there are that many buckets per value. ``group`` must not be NULL.
+    values (a capped length) there are that many buckets per value. The bucket totals of a group, not
+    its rows, meet in one task. ``group`` must not be NULL.
     """
     marked = df.withColumns({"_bucket": F.substring(key, 1, digits), "_one": F.lit(1).cast("long")})
     counted = bucketed_totals(marked, [*leading, key], ["_one"], [*leading, "_bucket"], group)

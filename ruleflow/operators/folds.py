@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleflow.operators.assembly import order_key
@@ -25,5 +25,5 @@ def group_folds(df: DataFrame, k: int, seed: int, group: str, out: str = "fold")
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class). One row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.struct(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))).scalar()
-    return counts.withColumn("weight", totals["rows"] / (totals["classes"] * F.col("n")))
+    classes = Window.partitionBy()
+    return counts.withColumn("weight", F.sum("n").over(classes) / (F.count(F.lit(1)).over(classes) * F.col("n")))

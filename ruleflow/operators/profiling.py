@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,7 @@ def first_rows(df: DataFrame, order: str, n: int = 3) -> DataFrame:
 
 def label_distribution(df: DataFrame, label: str = "rule_violation") -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy())  # one row per label
     return counts.withColumn("percent", F.round(F.col("n") * 100 / total, 2))
 
 

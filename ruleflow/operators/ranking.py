@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ruleflow.operators.joins import join_counted
 from ruleflow.operators.positions import range_totals
 
 # A group of this size is still a comfortable sort for one task.
 WINDOW_ROWS = 2_000_000
-# A score counts as hot when it holds more than this share of all rows; so at most 1,000 scores are hot.
-HOT_SHARE = 1_000
-SALTS = 64
 
 
 def _usable(score: str) -> Column:
@@ -41,8 +39,8 @@ def rank_by_ranges(df: DataFrame, score: str, group: list[str], out: str, row_ke
     """For groups of any size and any number of ties.
 
     Equal scores collapse to one counted row, those rows get their running count over stored range
-    partitions, and the ranks go back by a join. Scores that hold very many rows are salted in that
-    join, by a digest of ``row_key`` on the row side and by copies of the rank on the other side.
+    partitions, and the ranks go back by a join that salts scores with very many rows. ``row_key``
+    tells rows of equal score apart.
     """
     keys = [*group, score]
     counted = (
@@ -52,26 +50,10 @@ def rank_by_ranges(df: DataFrame, score: str, group: list[str], out: str, row_ke
         .withColumn("_missing", ~_usable(score))
     )
     totals = range_totals(counted, ["_missing", score], ["n"], group)
-    ranks = totals.filter(~F.col("_missing")).select(
-        *keys,
-        "n",
-        ((F.col("n_before") + (F.col("n") - 1) / 2) / F.greatest(F.col("n_total") - 1, F.lit(1))).alias(out),
-    )
-    all_rows = df.agg(F.count(F.lit(1))).scalar()
-    ranks = ranks.withColumn("_hot", F.col("n") * HOT_SHARE > all_rows)
-
-    hot = ranks.filter("_hot").select(*keys, F.lit(True).alias("_hot"))
-    spread = F.pmod(F.xxhash64(*row_key), F.lit(SALTS)).cast("int")
-    # Rows without a rank would all meet in one partition, so they are spread as well.
-    wide = F.coalesce(F.col("_hot"), ~_usable(score))
-    salted_rows = (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(wide, spread).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
-    salted_ranks = ranks.select(*keys, out, F.explode(copies).alias("_salt"))
-    return salted_rows.join(salted_ranks, [*keys, "_salt"], "left").drop("_salt")
+    before = F.col("n_before") + (F.col("n") - 1) / 2
+    scaled = before / F.greatest(F.col("n_total") - 1, F.lit(1))
+    ranks = totals.filter(~F.col("_missing")).select(*keys, "n", scaled.alias(out))
+    return join_counted(df, ranks, keys, "n", row_key, unmatched=~_usable(score))
 
 
 def rank_within(

@@ -68,7 +68,8 @@ def dense_row_ids(df: DataFrame) -> DataFrame:
     """Adds ``row_id`` 0..n-1 in file order; ``df`` must be a plain file scan.
 
     Rows of one file block follow each other in one task, so their running number only has to be
-    shifted by the rows of earlier blocks. The texts are neither sorted nor shuffled.
+    shifted by the rows of earlier blocks; nothing is sorted. The blocks' table is joined back, by
+    broadcast while Spark finds it small, else by block, and blocks are of even size.
     """
     block = ["_file", "_block"]
     numbered = df.select(

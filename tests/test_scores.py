@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ruleflow.functions import scores, sequences, templates
 from ruleflow.operators import batching, blending, contracts, metrics, positions, profiling, rendering
+from ruleflow.operators.joins import join_counted
 from ruleflow.operators.ranking import rank_within
 from ruleflow.operators.scoring import length_scorer, score_batches
 
@@ -210,3 +211,13 @@ def test_label_distribution_and_top_values(spark):
     assert [tuple(r) for r in profiling.value_counts(df, "s", top=1).collect()] == [("a", 2)]
     shares = {r.s: r.percent for r in profiling.label_distribution(df.dropna(), "s").collect()}
     assert shares == {"a": 66.67, "b": 33.33}
+
+
+def test_hot_keys_join_like_any_other(spark):
+    rows = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    counted = rows.filter("k <> 10").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    got = join_counted(rows, counted, ["k"], "n", ["id"])
+    assert {r.id: r.top for r in got.collect()} == {
+        i: 8997 if i % 3 == 0 else None if i == 10 else i for i in range(9000)
+    }
+    assert got.count() == 9000

@@ -13,12 +13,17 @@ PAD_ID = 0
 EOS_ID = 1
 
 
-def token_ids(text: Column) -> Column:
-    """Default tokenizer: word hashes of 28 bits, above the reserved ids. Any array<int> column works instead."""
-    return F.transform(
-        words(F.lower(text)),
-        lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int") + F.lit(2),
-    )
+def token_ids(text: Column, first: int | None = None, last: int | None = None) -> Column:
+    """Default tokenizer: word hashes of 28 bits, above the reserved ids. Any array<int> column works instead.
+
+    ``first`` or ``last`` keep that many words; words outside are never hashed.
+    """
+    tokens = words(F.lower(text))
+    if first is not None:
+        tokens = keep_first(tokens, first)
+    if last is not None:
+        tokens = keep_last(tokens, last)
+    return F.transform(tokens, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int") + F.lit(2))
 
 
 def completion_inputs(prompt_ids: Column, completion_ids: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ NEGATIVE_ANSWER = "No"
 MISSING_TEXT = "nan"
 DEFAULT_SEPARATOR = "</s>"
 
+# The texts around the columns of each template.
+MODERATION_PARTS = (INSTRUCTION + "\n\nComment: ", "\n\nRule: ", "\n---\nAnswer:")
+COMPLETION_PARTS = ("\n" + INSTRUCTION + "\n\nComment: ", "\n\nrule: ", "\n---\nAnswer:")
+USER_TURN_PARTS = ("Comment: ", "\n\nrule: ", "")
+PAIR_PARTS = (
+    "COMMENT: ", "\nSUBREDDIT: ", "\nRULE: ", "\nVIOLATING EXAMPLES: ", " [SEP] ",
+    "\nNON-VIOLATING EXAMPLES: ", " [SEP] ", "",
+)
+
 # How each chat family opens a turn per role and closes it. The closing marker of the
 # last turn is cut from training text; its length is the tail length of that family.
 CHAT_FAMILIES = [
@@ -31,19 +42,19 @@ def _shown(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(MISSING_TEXT))
 
 
+def _fill(parts: Sequence[str], columns: Sequence[Column]) -> Column:
+    """The parts with a column after each but the last."""
+    pieces = [piece for pair in zip(map(F.lit, parts), columns) for piece in pair]
+    return F.concat(*pieces, F.lit(parts[-1]))
+
+
 def moderation_prompt(body: Column, rule: Column) -> Column:
-    return F.concat(
-        F.lit(INSTRUCTION + "\n\nComment: "), _shown(body),
-        F.lit("\n\nRule: "), _shown(rule), F.lit("\n---\nAnswer:"),
-    )
+    return _fill(MODERATION_PARTS, [_shown(body), _shown(rule)])
 
 
 def completion_prompt(body: Column, rule: Column) -> Column:
     """The variant used with a separate completion: a leading newline and a lower-case rule header."""
-    return F.concat(
-        F.lit("\n" + INSTRUCTION + "\n\nComment: "), _shown(body),
-        F.lit("\n\nrule: "), _shown(rule), F.lit("\n---\nAnswer:"),
-    )
+    return _fill(COMPLETION_PARTS, [_shown(body), _shown(rule)])
 
 
 def pair_text(
@@ -51,14 +62,8 @@ def pair_text(
     positive_1: Column, positive_2: Column, negative_1: Column, negative_2: Column,
 ) -> Column:
     """Sectioned text of a comment, its community, its rule and both kinds of examples."""
-    blank = [F.coalesce(c, F.lit("")) for c in (body, subreddit, rule, positive_1, positive_2, negative_1, negative_2)]
-    return F.concat(
-        F.lit("COMMENT: "), blank[0],
-        F.lit("\nSUBREDDIT: "), blank[1],
-        F.lit("\nRULE: "), blank[2],
-        F.lit("\nVIOLATING EXAMPLES: "), blank[3], F.lit(" [SEP] "), blank[4],
-        F.lit("\nNON-VIOLATING EXAMPLES: "), blank[5], F.lit(" [SEP] "), blank[6],
-    )
+    columns = (body, subreddit, rule, positive_1, positive_2, negative_1, negative_2)
+    return _fill(PAIR_PARTS, [F.coalesce(c, F.lit("")) for c in columns])
 
 
 def encoder_text(rule: Column, body: Column, separator: str | None = None) -> Column:
@@ -76,7 +81,7 @@ def conversation(body: Column, rule: Column, answer: Column | None = None) -> Co
     def turn(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
-    user = F.concat(F.lit("Comment: "), _shown(body), F.lit("\n\nrule: "), _shown(rule))
+    user = _fill(USER_TURN_PARTS, [_shown(body), _shown(rule)])
     turns = [turn("system", F.lit(INSTRUCTION)), turn("user", user)]
     if answer is not None:
         turns.append(turn("assistant", _shown(answer)))

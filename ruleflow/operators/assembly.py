@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Source names, example columns and the columns that make a row of the frame.
 TRAIN, EXAMPLES = "train", "test_examples"
 EXAMPLE_COLUMNS = ("positive_example_1", "positive_example_2", "negative_example_1", "negative_example_2")
 FRAME_KEY = ("body", "rule", "rule_violation", "source")

@@ -14,6 +14,7 @@ from ruleflow.operators.scoring import length_scorer, score_batches
 from ruleflow.queries.registry import COMMENTS, query
 from ruleflow.queries.rendering import COMPLETION_PROMPT, VERDICT, shown
 
+# Token limits for training and scoring, batch sizes.
 TRAIN_LIMIT, SCORE_LIMIT = 256, 512
 CHAT_BATCH, ENCODER_BATCH = 4, 32
 
@@ -37,12 +38,12 @@ def joined(column: str):
     return F.array_join(column, " ").alias(column)
 
 
-def supervised(spark, sf_dir):
-    """Prompt and completion ids of all rows with a usable label."""
+def supervised(spark, sf_dir, last=None):
+    """Prompt and completion ids of all rows with a usable label; ``last`` keeps the end of the prompt."""
     rows = fixtures.comments(spark, sf_dir).withColumn("completion", T.verdict(to_label(F.col("rule_violation"))))
     return rows.dropna(subset=["completion"]).select(
         "row_id",
-        S.token_ids(T.completion_prompt(F.col("body"), F.col("rule"))).alias("prompt_ids"),
+        S.token_ids(T.completion_prompt(F.col("body"), F.col("rule")), last=last).alias("prompt_ids"),
         S.token_ids(F.col("completion")).alias("completion_ids"),
     )
 
@@ -67,7 +68,7 @@ def completion_labels(spark, sf_dir):
 
 def truncated(spark, sf_dir):
     p, c = F.col("prompt_ids"), F.col("completion_ids")
-    return supervised(spark, sf_dir).select(
+    return supervised(spark, sf_dir, TRAIN_LIMIT).select(
         "row_id",
         S.keep_last(S.completion_inputs(p, c), TRAIN_LIMIT).alias("input_ids"),
         S.keep_last(S.completion_labels(p, c), TRAIN_LIMIT).alias("labels"),
@@ -109,8 +110,8 @@ def left_padding(spark, sf_dir):
 
 
 def encoder_ids(spark, sf_dir):
-    ids = S.token_ids(T.encoder_text(F.col("rule"), F.col("body")))
-    return fixtures.comments(spark, sf_dir).select("row_id", S.keep_first(ids, SCORE_LIMIT).alias("input_ids"))
+    ids = S.token_ids(T.encoder_text(F.col("rule"), F.col("body")), first=SCORE_LIMIT)
+    return fixtures.comments(spark, sf_dir).select("row_id", ids.alias("input_ids"))
 
 
 ENCODER_TOKENS = COMMENTS + f""",

@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -25,6 +25,9 @@ from ruleflow.storage import scratch_path
 STRENGTH = 2.0
 ITERATIONS = 2_000
 
+# Value of the levelling row in every column.
+REACH = 1e10
+
 # Rows per task of an iterative fit; an iteration over fewer rows is all scheduling.
 ROWS_PER_TASK = 5_000
 
@@ -88,6 +91,18 @@ def margin(raw: str = "rawPrediction") -> Column:
     return F.col("sign") * vector_to_array(F.col(raw))[1]
 
 
+def levelling_row(like: DataFrame, size: int, rows: int) -> DataFrame:
+    """One row of next to no weight that gives all columns about the same scale.
+
+    The estimator works on standardised columns. There the penalty weighs thousands of times more on a
+    rare term than on a common one, and the fit takes many hundreds of passes. This row adds 1 to every
+    column's variance, so standardising changes nothing, and the fit takes a few dozen. To the mean loss
+    it adds no more than the sum of the coefficients divided by ``REACH``.
+    """
+    values = Vectors.dense([REACH] * size)  # as long as the vocabulary
+    return like.sparkSession.createDataFrame([(1.0, rows / REACH**2, values)], like.schema)
+
+
 def fit_balanced(train: DataFrame, label: str = "label") -> LogisticRegressionModel:
     """L2-regularised fit with balanced class weights.
 
@@ -97,11 +112,13 @@ def fit_balanced(train: DataFrame, label: str = "label") -> LogisticRegressionMo
     rows = sum(row["n"] for row in classes.values())
     weight = F.coalesce(*[F.when(F.col(label) == value, row["weight"]) for value, row in classes.items()])
     side = F.when(F.col("sign") > 0, F.col(label)).otherwise(1 - F.col(label))
-    weighted = train.withColumns({"weight": weight, "side": side})
+    weighted = train.select(side.cast("double").alias("side"), weight.alias("weight"), "features")
+    size = train.select(F.col("features")).first()["features"].size
+    levelled = weighted.coalesce(rows // ROWS_PER_TASK + 1).unionByName(levelling_row(weighted, size, rows))
     return LogisticRegression(
-        featuresCol="features", labelCol="side", weightCol="weight", maxIter=ITERATIONS,
+        featuresCol="features", labelCol="side", weightCol="weight", maxIter=ITERATIONS, tol=1e-8,
         regParam=1.0 / (STRENGTH * rows), elasticNetParam=0.0, standardization=False, fitIntercept=False,
-    ).fit(weighted.coalesce(rows // ROWS_PER_TASK + 1))
+    ).fit(levelled)
 
 
 def soft_target_rows(df: DataFrame, label: str = "label") -> DataFrame:

@@ -40,6 +40,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of one job below the shared scratch folder, removed together when the job's result is stored.
+
+    ``with Scratch(spark, "job") as scratch`` removes them on leaving; results that are read later must be
+    stored outside, with ``materialize``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = scratch_path(spark, name)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as one table of the job and read it back; ``name`` must be new in this job."""
+        path = f"{self.path}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        remove_path(self.spark, self.path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.remove()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is on."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 

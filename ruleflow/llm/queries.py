@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleflow.llm import simhash, token_counts
+from ruleflow.llm import quality_rules, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +26,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
+    "op3_quality_rules": op3_quality_rules,
 }
 ORACLES: dict[str, str] = {}

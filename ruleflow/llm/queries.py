@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleflow.llm import decontamination, piece_coding, quality_rules, secret_scan, simhash, token_counts
+from ruleflow.llm import classifier, decontamination, piece_coding, quality_rules, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op4_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_coding.code(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_piece_coding": op4_piece_coding,
+    "op5_classifier": op5_classifier,
     "op6_decontamination": op6_decontamination,
     "op9_secret_scan": op9_secret_scan,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleflow.llm import classifier, decontamination, piece_coding, quality_rules, secret_scan, simhash, token_counts
+from ruleflow.llm import classifier, decontamination, piece_coding, quality_rules, secret_scan, simhash, span_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op4_piece_coding": op4_piece_coding,
     "op5_classifier": op5_classifier,
     "op6_decontamination": op6_decontamination,
+    "op7_span_dedup": op7_span_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
 ORACLES: dict[str, str] = {}

@@ -126,5 +126,5 @@ def test_texts_and_empty_table(spark):
     passage = "one passage of more than fifty bytes that is in both of them, é"
     docs = frame(spark, [(1, f"{passage} first"), (2, f"second {passage} end"), (3, None)])
     found = {r.doc_id: r.kept_text for r in dedup.remove_repeats(docs, with_text=True).collect()}
-    assert found == {1: f"{passage} first", 2: "secondend", 3: ""}
+    assert found == {1: f"{passage} first", 2: "second end", 3: ""}
     assert dedup.remove_repeats(docs.limit(0)).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleflow.llm import classifier, decontamination, piece_coding, quality_rules, secret_scan, simhash, span_dedup, token_counts
+from ruleflow.llm import classifier, decontamination, license_scan, piece_coding, quality_rules, secret_scan, simhash, span_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -59,5 +63,6 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": op6_decontamination,
     "op7_span_dedup": op7_span_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleflow.llm import classifier, decontamination, license_scan, piece_coding, quality_rules, secret_scan, simhash, span_dedup, token_counts
+from ruleflow.llm import classifier, decontamination, html_text, license_scan, piece_coding, quality_rules, secret_scan, simhash, span_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op5_classifier": op5_classifier,
     "op6_decontamination": op6_decontamination,
     "op7_span_dedup": op7_span_dedup,
+    "op8_html_text": op8_html_text,
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
 }

@@ -13,11 +13,12 @@ the same whatever its length.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -323,22 +324,36 @@ def leaks(
     The benchmark is sent to the tasks in passes of about ``pass_chars`` characters, one pass over the
     documents for each: a larger benchmark takes more passes, not more memory.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // pass_chars))
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     found = None
-    for i in range(passes):
-        part = [(r.item_id, r.text) for r in items.filter(number == i).collect()]  # about pass_chars characters
-        sent = spark.sparkContext.broadcast(part)
+    for sent in in_passes(benchmark, pass_chars):
         one = rows.mapInArrow(searcher(sent, similarity, words, radius), SCHEMA)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def searcher(sent, similarity: float, words: int, radius: int):
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = RADIUS,
+    pass_chars: int = PASS_CHARS,
+) -> DataFrame:
+    """The rows of ``docs(text, …)`` that ``leaks`` finds nothing in, with all their columns; nothing is shuffled."""
+    for sent in in_passes(benchmark, pass_chars):
+        docs = docs.mapInArrow(cleaner(sent, similarity, words, radius), docs.schema)
+    return docs
+
+
+def in_passes(benchmark: DataFrame, pass_chars: int) -> Iterator[Broadcast]:
+    """The items, about ``pass_chars`` characters at a time."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // pass_chars))
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    for i in range(passes):
+        part = [(row.item_id, row.text) for row in items.filter(number == i).collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(part)
+
+
+def searcher(sent: Broadcast, similarity: float, words: int, radius: int) -> Callable:
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark = Benchmark(sent.value, words, radius)
         for block in text_blocks(batches, "text"):
@@ -354,3 +369,15 @@ def searcher(sent, similarity: float, words: int, radius: int):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return search
+
+
+def cleaner(sent: Broadcast, similarity: float, words: int, radius: int) -> Callable:
+    def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        benchmark = Benchmark(sent.value, words, radius)
+        for block in text_blocks(batches, "text"):
+            keep = np.ones(block.num_rows, bool)
+            for text, *_ in matches(cut(*joined_bytes(block, "text")), benchmark, similarity):
+                keep[text] = False
+            yield block.filter(pa.array(keep))
+
+    return clean

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleflow.llm.blocks import text_blocks
@@ -62,16 +62,23 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def digest() -> Column:
+    """A hash of the text by which rows of one id are told apart; NULL is empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, fp)`` with the 64 bits of the fingerprint as a long; a NULL text counts as empty, which gives zero."""
+    """``(doc_id, digest, fp)`` with the 64 bits of the fingerprint as a long; a NULL text is empty, which gives zero."""
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "text"):
             found = [majority(shingle_hashes((t or "").encode(), words)) for t in block.column("text").to_pylist()]
             fp = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            columns = [block.column("doc_id"), block.column("digest"), pa.array(fp)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(compute, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), digest().alias("digest"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(compute, "doc_id long, digest long, fp long")
 
 
 def routes() -> list[tuple[int, list[tuple[int, int]]]]:
@@ -271,6 +278,15 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, part_rows: int = PART_
     return ordered.mapInArrow(search, "a long, b long")
 
 
+def grouped(docs: DataFrame, scratch: Scratch, words: int, radius: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, digest, fp)`` of the rows, and ``(fp, root)``: the component that each fingerprint is in."""
+    prints = scratch.store(fingerprints(docs, words), "prints")
+    distinct = scratch.store(prints.select("fp").distinct(), "distinct")
+    links = scratch.store(near_links(distinct, radius, part_rows).distinct(), "near")
+    stars = connected_components(links, scratch).withColumnRenamed("node", "fp")
+    return prints, distinct.join(stars, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, part_rows: int = PART_ROWS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs(doc_id, text)``.
 
@@ -281,14 +297,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, p
     Other columns of ``docs`` are not read.
     """
     with Scratch(docs.sparkSession, "simhash") as scratch:
-        prints = scratch.store(fingerprints(docs, words), "prints")
-        distinct = scratch.store(prints.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "distinct")
-        links = scratch.store(near_links(distinct.select("fp"), radius, part_rows).distinct(), "near")
-        stars = connected_components(links, scratch).withColumnRenamed("node", "fp")
-        rooted = distinct.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        lowest = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
-        named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-        found = prints.join(named, "fp").select(
+        prints, components = grouped(docs, scratch, words, radius, part_rows)
+        smallest = prints.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
+        rooted = scratch.store(components.join(smallest, "fp"), "rooted")
+        lowest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
+        found = prints.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select(
             "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
         )
         return materialize(found, "simhash-result")
+
+
+def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, part_rows: int = PART_ROWS) -> DataFrame:
+    """One row of ``docs`` for each component of ``near_duplicates``, with all its columns.
+
+    It is the row with the smallest id (NULL comes last) and, if that id is repeated, the smallest digest of
+    its text; of rows alike in both any one.
+    """
+    with Scratch(docs.sparkSession, "simhash") as scratch:
+        prints, components = grouped(docs, scratch, words, radius, part_rows)
+        place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+        first = prints.groupBy("fp").agg(F.min(place).alias("first"))
+        best = components.join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+        chosen = scratch.store(best.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest")), "chosen")
+        keyed = docs.withColumn("_text_digest", digest())
+        same = keyed["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (keyed["_text_digest"] == chosen["_digest"])
+        kept = keyed.join(chosen, same).dropDuplicates(["_id", "_text_digest"])
+        return materialize(kept.select(*[keyed[name] for name in docs.columns]), "representatives")

@@ -102,3 +102,13 @@ def test_rows_in_several_passes(spark):
         assert sorted(((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word) for r in found), key=str) == wanted
     assert dec.leaks(frame.limit(0), benchmark).count() == 0
     assert dec.leaks(frame, benchmark.limit(0)).count() == 0
+
+
+def test_rows_without_leaks(spark):
+    docs, items = corpus(8)
+    frame = spark.createDataFrame([(d, t, str(row)) for row, (d, t) in enumerate(docs)], "doc_id long, text string, item_id string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    bad = {str(row) for row, _ in slow_leaks(docs, items)}
+    kept = dec.without_leaks(frame, benchmark, pass_chars=900)
+    assert kept.schema == frame.schema
+    assert sorted(r.item_id for r in kept.collect()) == sorted({str(row) for row in range(len(docs))} - bad)

@@ -120,3 +120,15 @@ def test_near_duplicates_with_odd_rows(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_representatives_with_odd_rows(spark):
+    long = " ".join(f"w{i * 7919 % 1009}" for i in range(3000))
+    rows = [(5, long, "a"), (3, long + " tail", "b"), (3, long + " tail", "b"), (3, long, "c"), (None, long, "d"), (8, "", "e"), (9, None, "f")]
+    rows += [(None, "unseen words only here", "g"), (None, "unseen words only here", "g"), (None, "other new words too", "h"), (8, "one more text here", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    kept = simhash.representatives(docs)
+    assert kept.schema == docs.schema
+    found = sorted(((r.doc_id, r.root) for r in kept.collect()), key=str)
+    assert len(found) == 5 and {f for f in found if f[0] != 3} == {(8, "e"), (8, "i"), (None, "g"), (None, "h")}
+    assert simhash.representatives(docs.limit(0)).count() == 0

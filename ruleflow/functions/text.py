@@ -6,9 +6,9 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import NumericType, StringType
 
 # The characters Python's str.strip() treats as white space.
 WHITESPACE_CODES = (
@@ -55,6 +55,12 @@ def to_label(col: Column) -> Column:
     return F.when(text.rlike(NUMBER), F.btrim(text).try_cast("double"))
 
 
+def as_number(df: DataFrame, column: str) -> Column:
+    """A column as double: parsed like a label if it holds texts, else only cast."""
+    kind = df.schema[column].dataType
+    return F.col(column).cast("double") if isinstance(kind, NumericType) else to_label(F.col(column))
+
+
 def na_to_null(col: Column) -> Column:
     """Missing-value texts to NULL, for columns that come from a CSV file."""
     return F.when(~col.isin(*NA_TOKENS), col)

@@ -18,10 +18,16 @@ def weight_of(slot: Column, weights: Mapping[int, float]) -> Column:
     return F.create_map(*pairs)[slot]
 
 
-def distinct_slots() -> Column:
-    """Number of different slots in a group, from one bit per slot; slot numbers stay below 63."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").cast("int"))
-    return F.bit_count(F.bit_or(bit)).cast("long")
+def slots_per_id(predictions: DataFrame, score: str = "rule_violation") -> DataFrame:
+    """``row_id, slot, rows, value``: the rows of an id in a slot and the sum of their scores (NULL if one is).
+
+    Partitioned by the id alone, so that a following aggregation by id needs no second exchange.
+    """
+    together = predictions.select("slot", "row_id", score).repartition("row_id")
+    whole = F.count(score) == F.count(F.lit(1))
+    return together.groupBy("row_id", "slot").agg(
+        F.count(F.lit(1)).alias("rows"), F.when(whole, F.sum(score)).alias("value")
+    )
 
 
 def blend(
@@ -34,20 +40,23 @@ def blend(
 
     Ids missing from a slot drop out. An id that a slot holds twice is an error. A NULL score makes
     the id's result NULL. With ``normalize`` the weights of the present slots are scaled to sum 1.
+    Slots are any whole numbers.
     """
-    used = predictions.filter(F.col("slot").isin(*weights)).select("slot", "row_id", score)
-    present = used.select("slot").distinct().withColumn("w", weight_of(F.col("slot"), weights))
-    scale = present.agg(F.sum("w")).scalar() if normalize else F.lit(1.0)
-    slots = present.agg(F.count("slot")).scalar()
-
-    per_id = used.groupBy("row_id").agg(
-        F.sum(weight_of(F.col("slot"), weights) * F.col(score)).alias("total"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count(score).alias("scored"),
-        distinct_slots().alias("slots"),
-    )
+    used = predictions.filter(F.col("slot").isin(*weights))
+    # At most one entry per weight; both scalars come from one pass.
+    found = used.agg(F.collect_set(F.struct("slot", weight_of(F.col("slot"), weights).alias("w"))).alias("present"))
+    total = F.aggregate("present", F.lit(0.0), lambda sum_, slot: sum_ + slot["w"])
+    present = found.select(F.struct(total.alias("weight"), F.size("present").alias("slots"))).scalar()
+    scale = present["weight"] if normalize else F.lit(1.0)
+
     twice = F.raise_error(F.concat(F.lit("more than one prediction in a slot for row_id "), F.col("row_id").cast("string")))
-    aligned = F.when(F.col("rows") > F.col("slots"), twice.cast("boolean")).otherwise(F.col("slots") == slots)
+    per_id = slots_per_id(used, score).groupBy("row_id").agg(
+        F.sum(weight_of(F.col("slot"), weights) * F.col("value")).alias("total"),
+        F.count(F.lit(1)).alias("slots"),
+        F.count("value").alias("scored"),
+        F.max("rows").alias("most"),
+    )
+    aligned = F.when(F.col("most") > 1, twice.cast("boolean")).otherwise(F.col("slots") == present["slots"])
     return per_id.filter(aligned).select(
-        "row_id", F.when(F.col("scored") == F.col("rows"), F.col("total") / scale).alias("rule_violation")
+        "row_id", F.when(F.col("scored") == F.col("slots"), F.col("total") / scale).alias("rule_violation")
     )

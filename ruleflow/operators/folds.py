@@ -9,10 +9,15 @@ from ruleflow.operators.assembly import order_key
 from ruleflow.operators.positions import hash_positions
 
 
-def stratified_folds(df: DataFrame, k: int, seed: int, label: str = "label", row_id: str = "row_id", out: str = "fold") -> DataFrame:
-    """Deal each label's rows out to ``k`` folds in seeded order, so fold sizes per label differ by at most one."""
+def stratified_folds(
+    df: DataFrame, k: int, seed: int, label: str = "label", row_id: str = "row_id", out: str = "fold", digits: int = 3
+) -> DataFrame:
+    """Deal each label's rows out to ``k`` folds in seeded order, so fold sizes per label differ by at most one.
+
+    Rows with a NULL label are dealt out like a label of their own. ``digits`` as in ``hash_positions``.
+    """
     keyed = df.withColumn("_key", order_key(seed, [row_id]))
-    placed = hash_positions(keyed, "_key", [label])
+    placed = hash_positions(keyed, "_key", [label], digits=digits)
     return placed.withColumn(out, (F.col("position") % k).cast("int")).drop("_key", "position", "group_rows")
 
 

@@ -8,6 +8,8 @@ and bucket) are summed up ahead of each bucket, and both are added.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +37,10 @@ def bucketed_totals(
         *[F.sum(f"_{v}_sum").over(across).alias(f"{v}_total") for v in values],
     )
     inside = df.withColumns({f"_{v}_inside": F.coalesce(F.sum(v).over(earlier), F.lit(0)) for v in values})
-    joined = inside.join(offsets, place)
+    # Null-safe, as a NULL group or bucket is a group like any other.
+    named = offsets.withColumnsRenamed({name: f"_of_{name}" for name in place})
+    same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in place])
+    joined = inside.join(named, same).drop(*[f"_of_{name}" for name in place])
     helpers = [name for v in values for name in (f"_{v}_inside", f"_{v}_ahead")]
     return joined.withColumns(
         {f"{v}_before": F.col(f"_{v}_inside") + F.col(f"_{v}_ahead") for v in values}
@@ -50,9 +55,11 @@ def hash_positions(
     ``key`` is a hexadecimal digest, unique per row. Its first ``digits`` digits are the bucket: 4,096
     even buckets per group at the default, whatever the group's size. With ``leading`` columns of few
     values (a capped length) there are that many buckets per value. The bucket totals of a group, not
-    its rows, meet in one task. ``group`` must not be NULL.
+    its rows, meet in one task; take more ``digits`` for groups of many billions. NULL groups are a
+    group, NULL keys come first. ``df`` is stored once, as buckets and totals are both made from it, so
+    hand in ids and keys, not texts.
     """
-    marked = df.withColumns({"_bucket": F.substring(key, 1, digits), "_one": F.lit(1).cast("long")})
+    marked = materialize(df, "positions").withColumns({"_bucket": F.substring(key, 1, digits), "_one": F.lit(1).cast("long")})
     counted = bucketed_totals(marked, [*leading, key], ["_one"], [*leading, "_bucket"], group)
     return counted.withColumnsRenamed({"_one_before": "position", "_one_total": "group_rows"}).drop("_bucket", "_one")
 

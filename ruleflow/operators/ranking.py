@@ -2,46 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleflow.operators.joins import join_counted
 from ruleflow.operators.positions import range_totals
 
-# A group of this size is still a comfortable sort for one task.
-WINDOW_ROWS = 2_000_000
-
 
 def _usable(score: str) -> Column:
     return F.col(score).isNotNull() & ~F.isnan(score)
 
 
-def largest_group(df: DataFrame, *group: str) -> int:
-    """Row count of the largest group; reads only the group columns."""
-    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-
-
-def rank_by_window(df: DataFrame, score: str, group: list[str], out: str) -> DataFrame:
-    """One exchange; for groups that fit one task."""
-    whole = Window.partitionBy(*group)
-    ordered = whole.orderBy(F.col(score).asc_nulls_last())
-    first = F.rank().over(ordered)
-    ties = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
-    rows = F.count(F.lit(1)).over(whole)
-    scaled = (first - 1 + (ties - 1) / 2) / F.greatest(rows - 1, F.lit(1))
-    known = F.lit(True)
-    for name in group:
-        known = known & F.col(name).isNotNull()
-    return df.withColumn(out, F.when(_usable(score) & known, scaled))
-
-
-def rank_by_ranges(df: DataFrame, score: str, group: list[str], out: str, row_key: list[str]) -> DataFrame:
-    """For groups of any size and any number of ties.
+def rank_within(
+    df: DataFrame,
+    score: str = "rule_violation",
+    group: list[str] | None = None,
+    out: str = "rank_score",
+    row_key: list[str] | None = None,
+) -> DataFrame:
+    """Average rank scaled to [0, 1] inside each group; singletons get 0.
 
-    Equal scores collapse to one counted row, those rows get their running count over stored range
-    partitions, and the ranks go back by a join that salts scores with very many rows. ``row_key``
-    tells rows of equal score apart.
+    NULL and NaN scores and NULL groups get NULL, but the rows count in the group's size. One plan for
+    groups of any size and any number of ties: equal scores collapse to one counted row, those rows
+    get their running count over stored range partitions, and the ranks go back by a join that splits
+    scores with very many rows and spreads rows that can have no rank. ``row_key`` tells rows of equal
+    score apart. The input is read three times, so hand in a stored table, not an unscored model plan.
     """
+    group, row_key = group or ["rule"], row_key or ["row_id"]
     keys = [*group, score]
     counted = (
         df.groupBy(*keys)
@@ -53,26 +43,5 @@ def rank_by_ranges(df: DataFrame, score: str, group: list[str], out: str, row_ke
     before = F.col("n_before") + (F.col("n") - 1) / 2
     scaled = before / F.greatest(F.col("n_total") - 1, F.lit(1))
     ranks = totals.filter(~F.col("_missing")).select(*keys, "n", scaled.alias(out))
-    return join_counted(df, ranks, keys, "n", row_key, unmatched=~_usable(score))
-
-
-def rank_within(
-    df: DataFrame,
-    score: str = "rule_violation",
-    group: list[str] | None = None,
-    out: str = "rank_score",
-    row_key: list[str] | None = None,
-    strategy: str = "auto",
-) -> DataFrame:
-    """Average rank scaled to [0, 1] inside each group; singletons get 0.
-
-    NULL and NaN scores and NULL groups get NULL, but the rows count in the group's size. ``auto``
-    counts the rows per group first and takes the window only where every group fits one task. The
-    input is read more than once, so hand in a stored table, not an unscored model plan.
-    """
-    group = group or ["rule"]
-    if strategy == "auto":
-        strategy = "window" if largest_group(df, *group) <= WINDOW_ROWS else "ranges"
-    if strategy == "window":
-        return rank_by_window(df, score, group, out)
-    return rank_by_ranges(df, score, group, out, row_key or ["row_id"])
+    unranked = reduce(or_, [F.col(name).isNull() for name in group], ~_usable(score))
+    return join_counted(df, ranks, keys, "n", row_key, unmatched=unranked)

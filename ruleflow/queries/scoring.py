@@ -69,7 +69,7 @@ def rank_within_rule(spark, sf_dir):
 @query("h5_rank_by_ranges", PREDICTIONS + "\n" + rank_sql("f_predictions"))
 def rank_by_ranges(spark, sf_dir):
     rows = fixtures.predictions(spark, sf_dir)
-    return rank_within(rows, group=["slot", "rule"], strategy="ranges").drop("rule_violation")
+    return rank_within(rows, group=["slot", "rule"]).drop("rule_violation")
 
 
 @query("h5_rank_missing", PREDICTIONS + """, gaps AS (
@@ -88,7 +88,7 @@ def rank_missing(spark, sf_dir):
             .otherwise(F.col("rule_violation")),
         }
     )
-    return rank_within(rows, group=["slot", "rule"], strategy="ranges").drop("rule_violation")
+    return rank_within(rows, group=["slot", "rule"]).drop("rule_violation")
 
 
 def blend_sql(weights: dict[int, float], scale: str, source: str = "f_predictions", score: str = "rule_violation") -> str:
@@ -135,6 +135,29 @@ def doubled(spark, sf_dir):
     return rows.unionByName(rows.filter("slot = 3 AND row_id % 97 = 0"))
 
 
+HIGH_SLOTS = PREDICTIONS + """, far AS (
+  SELECT CASE slot WHEN 1 THEN 6 WHEN 2 THEN 64 WHEN 3 THEN 70 WHEN 4 THEN -1 ELSE slot END AS slot, row_id, rule_violation
+  FROM f_predictions WHERE slot < 5 AND (slot < 3 OR row_id % 11 > 0))"""
+FAR_WEIGHTS = {6: 0.4, 64: 0.3, 70: 0.2, -1: 0.2}
+
+
+def far_slots(spark, sf_dir):
+    """Predictions whose slots are far apart and below zero; two of them lack some ids."""
+    rows = fixtures.predictions(spark, sf_dir).filter("slot < 5 AND (slot < 3 OR row_id % 11 > 0)")
+    return rows.replace({1: 6, 2: 64, 3: 70, 4: -1}, subset=["slot"])
+
+
+@query("h6_blend_high_slots", HIGH_SLOTS + blend_sql(FAR_WEIGHTS, "total", "far"))
+def blend_high_slots(spark, sf_dir):
+    return rounded(blending.blend(far_slots(spark, sf_dir), FAR_WEIGHTS)).orderBy("row_id")
+
+
+@query("h8_incomplete_high_slots", HIGH_SLOTS + """
+SELECT row_id, count(DISTINCT slot) AS slots_held FROM far GROUP BY row_id HAVING count(DISTINCT slot) < 4""")
+def incomplete_high_slots(spark, sf_dir):
+    return contracts.incomplete_ids(far_slots(spark, sf_dir))
+
+
 @query("h8_repeated_ids", PREDICTIONS + """, doubled AS (
   SELECT * FROM f_predictions UNION ALL SELECT * FROM f_predictions WHERE slot = 3 AND row_id % 97 = 0)
 SELECT slot, row_id, count(*) AS copies FROM doubled GROUP BY slot, row_id HAVING count(*) > 1""")

@@ -129,6 +129,12 @@ def test_folds_are_stratified(spark):
         assert len(counts) == 5 and max(counts) - min(counts) <= 1
 
 
+def test_rows_without_a_label_are_dealt_out_too(spark):
+    df = spark.range(60).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("label"))
+    sizes = folds.stratified_folds(df, 4, 42, digits=1).groupBy("label", "fold").count().collect()
+    assert sorted((str(r.label), r.fold, r["count"]) for r in sizes) == sorted((k, f, 5) for k in ("None", "1", "2") for f in range(4))
+
+
 def test_csv_round_trip_and_missing_values(spark):
     bodies = ["a\r\nb", " lead", 'q"uote, comma', "nul\0", 'line\nend\0', "NA", "null", "", "x\n\"", None]
     df = spark.createDataFrame([(i, b, "r") for i, b in enumerate(bodies)], "row_id long, body string, rule string")

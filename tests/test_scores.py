@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ruleflow.functions import scores, sequences, templates
@@ -14,27 +15,34 @@ from ruleflow.operators.ranking import rank_within
 from ruleflow.operators.scoring import length_scorer, score_batches
 
 SCORED = "row_id long, rule string, rule_violation double"
-STRATEGIES = ["window", "ranges", "auto"]
 
 
-def ranked(df, strategy):
-    return {r.row_id: r.rank_score for r in rank_within(df, strategy=strategy).collect()}
+def ranked(df):
+    return {r.row_id: r.rank_score for r in rank_within(df).collect()}
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
-def test_rank_demo(spark, strategy):
+def ranked_by_window(df):
+    """The same in one window per rule, for comparison on small data."""
+    whole = Window.partitionBy("rule")
+    ordered = whole.orderBy(F.col("rule_violation").asc_nulls_last())
+    ties = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+    scaled = (F.rank().over(ordered) - 1 + (ties - 1) / 2) / F.greatest(F.count(F.lit(1)).over(whole) - 1, F.lit(1))
+    usable = F.col("rule_violation").isNotNull() & ~F.isnan("rule_violation") & F.col("rule").isNotNull()
+    return {r.row_id: r.rank for r in df.select("row_id", F.when(usable, scaled).alias("rank")).collect()}
+
+
+def test_rank_demo(spark):
     rows = [(1, "A", 0.4), (2, "A", 0.1), (3, "A", 0.8), (4, "B", 0.7), (5, "B", 0.2)]
-    assert ranked(spark.createDataFrame(rows, SCORED), strategy) == {1: 0.5, 2: 0.0, 3: 1.0, 4: 1.0, 5: 0.0}
+    assert ranked(spark.createDataFrame(rows, SCORED)) == {1: 0.5, 2: 0.0, 3: 1.0, 4: 1.0, 5: 0.0}
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
-def test_rank_ties_missing_and_singletons(spark, strategy):
+def test_rank_ties_missing_and_singletons(spark):
     rows = [
         (1, "A", 0.4), (2, "A", 0.1), (3, "A", 0.4),
         (4, "B", 0.7), (5, "B", 0.2), (6, "B", None), (7, "B", float("nan")),
         (8, None, 0.5), (9, "C", 0.3), (10, "D", None),
     ]
-    got = ranked(spark.createDataFrame(rows, SCORED), strategy)
+    got = ranked(spark.createDataFrame(rows, SCORED))
     assert got == {1: 0.75, 2: 0.0, 3: 0.75, 4: 1 / 3, 5: 0.0, 6: None, 7: None, 8: None, 9: 0.0, 10: None}
 
 
@@ -51,8 +59,19 @@ def test_rank_of_skewed_groups_is_the_same_either_way(spark):
     groups = frame.groupby("rule")["score"]
     frame["rank"] = (groups.rank(method="average") - 1) / (groups.transform("size") - 1).clip(lower=1)
     wanted = {int(i): None if math.isnan(r) else r for i, r in zip(frame["row_id"], frame["rank"])}
-    assert ranked(df, "window") == wanted
-    assert ranked(df, "ranges") == wanted
+    assert ranked_by_window(df) == wanted
+    assert ranked(df) == wanted
+
+
+def test_rank_with_one_score_on_most_rows_and_rules_missing(spark):
+    """The hot score is split and rows without a rule or score are spread; nothing is lost."""
+    rows = [(i, None if i % 50 == 0 else "r", 0.25 if i % 10 else (None if i % 20 else i / 40_000)) for i in range(30_000)]
+    df = spark.createDataFrame(rows, SCORED)
+    got = ranked(df)
+    assert len(got) == len(rows) and got == ranked_by_window(df)
+    counted = df.groupBy("rule", "rule_violation").agg(F.count(F.lit(1)).alias("n"))
+    parts = join_counted(df, counted.dropna(), ["rule", "rule_violation"], "n", ["row_id"], share=100)
+    assert parts.count() == len(rows)
 
 
 def test_positions_equal_a_plain_window(spark):
@@ -133,6 +152,20 @@ def test_auc_equals_all_pairs(spark):
     assert only.auc is None
 
 
+def test_auc_of_billions_of_rows(spark):
+    counts = spark.createDataFrame([(0.1, 0, 5 * 10**9), (0.5, 4 * 10**9, 10**9), (0.9, 2 * 10**9, 0)], "score double, pos long, neg long")
+    row = metrics.auc_of_counts(counts, "score").first()
+    assert row.auc == pytest.approx((4 * 5.5 + 2 * 6) / (6 * 6)) and (row.positives, row.negatives) == (6 * 10**9, 6 * 10**9)
+
+
+def test_slots_of_any_number(spark):
+    schema = "slot int, row_id long, rule_violation double"
+    rows = [(6, 1, 0.1), (70, 1, 0.3), (64, 1, 0.5), (-1, 1, 0.7), (6, 2, 0.1), (70, 2, 0.3)]
+    df = spark.createDataFrame(rows, schema)
+    assert [(r.row_id, r.rule_violation) for r in blending.blend(df, dict.fromkeys((6, 64, 70, -1), 1.0)).collect()] == [(1, pytest.approx(0.4))]
+    assert [tuple(r) for r in contracts.incomplete_ids(df).collect()] == [(2, 2)]
+
+
 def test_pair_softmax_demo_and_extremes(spark):
     df = spark.createDataFrame([(-0.2, -1.8), (-2.0, -0.1), (1000.0, -1000.0), (-1e9, -1e9)], "y double, n double")
     got = [r.p for r in df.select(scores.pair_softmax(F.col("y"), F.col("n")).alias("p")).collect()]

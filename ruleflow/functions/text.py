@@ -5,10 +5,9 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import NumericType
 
 # The characters Python's str.strip() treats as white space.
 WHITESPACE_CODES = (
@@ -66,14 +65,22 @@ def na_to_null(col: Column) -> Column:
     return F.when(~col.isin(*NA_TOKENS), col)
 
 
+# Fixed values of the Unicode algorithm: first precomposed syllable and the jamo of each place.
+HANGUL_FIRST, HANGUL_LAST = 0xAC00, 0xD7A3
+LEADS = "".join(map(chr, range(0x1100, 0x1113)))
+VOWELS = "".join(map(chr, range(0x1161, 0x1176)))
+TAILS = "".join(map(chr, range(0x11A8, 0x11C3)))
+
+
 @lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str, str]:
-    """Translation strings and a character class, derived from the Unicode decompositions.
+def _accent_table() -> tuple[str, str, str, dict[str, str]]:
+    """Translation strings, a character class and its decompositions, derived from the Unicode tables.
 
     One-to-one decompositions (and combining marks, which vanish) go into the two strings for
-    ``translate``. Characters that decompose into several base characters form the class.
+    ``translate``. Characters that decompose into several base characters form the class; those among
+    them that are no Hangul syllables, which follow a rule, are in the last value.
     """
-    source, target, dropped, several = [], [], [], []
+    source, target, dropped, several, long = [], [], [], [], {}
     for code in range(0x80, 0x110000):
         char = chr(code)
         if 0xD800 <= code < 0xE000:
@@ -88,6 +95,8 @@ def _accent_table() -> tuple[str, str, str]:
             dropped.append(char)
         else:
             several.append(code)
+            if not HANGUL_FIRST <= code <= HANGUL_LAST:
+                long[char] = plain
     ranges, start = [], None
     for code, following in zip(several, several[1:] + [None]):
         start = code if start is None else start
@@ -96,7 +105,7 @@ def _accent_table() -> tuple[str, str, str]:
             start = None
     # The look-ahead lets the many characters below the first of the class fail on one comparison.
     several_class = f"(?=[^\\x00-\\x{{{several[0] - 1:x}}}])[" + "".join(ranges) + "]"
-    return "".join(source + dropped), "".join(target), several_class
+    return "".join(source + dropped), "".join(target), several_class, long
 
 
 def strip_accents_py(text: str) -> str:
@@ -104,22 +113,31 @@ def strip_accents_py(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-@F.pandas_udf(StringType())
-def _strip_accents_arrow(texts: pd.Series) -> pd.Series:
-    return texts.map(strip_accents_py, na_action="ignore")
+def hangul_parts(char: Column) -> Column:
+    """The jamo of a precomposed syllable; NULL for any other character."""
+    place = F.ascii(char) - F.lit(HANGUL_FIRST)
+    inside = place.between(0, HANGUL_LAST - HANGUL_FIRST)
+    lead, vowel, tail = F.floor(place / 588).cast("int"), F.floor(place % 588 / 28).cast("int"), place % 28
+    jamo = F.concat(
+        F.substring(F.lit(LEADS), lead + 1, F.lit(1)), F.substring(F.lit(VOWELS), vowel + 1, F.lit(1)),
+        F.when(tail > 0, F.substring(F.lit(TAILS), tail, F.lit(1))).otherwise(F.lit("")),
+    )
+    return F.when(inside, jamo)
 
 
 def strip_accents(col: Column) -> Column:
-    """NFKD accent stripping.
+    """NFKD accent stripping, all of it in the JVM.
 
-    Pure ASCII stays as it is and most other text goes through ``translate``, both in the JVM. Only rows
-    with a character that becomes several (ligatures, Hangul, fractions) are handed to Python; every
-    other row passes NULL there.
+    Pure ASCII stays as it is and most other text goes through ``translate``. Only texts with a character
+    that becomes several (ligatures, Hangul, fractions) are taken apart into characters first.
     """
-    source, target, several = _accent_table()
-    special = F.when(col.rlike(several), col)
-    plain = F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(col, source, target)).otherwise(col)
-    return F.coalesce(_strip_accents_arrow(special), plain)
+    source, target, several, long = _accent_table()
+    pairs = F.create_map(*[F.lit(x) for pair in long.items() for x in pair])
+    taken_apart = F.array_join(
+        F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), hangul_parts(c), c)), ""
+    )
+    whole = F.when(col.rlike(several), taken_apart).otherwise(col)
+    return F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(whole, source, target)).otherwise(col)
 
 
 def fold_text(col: Column) -> Column:

@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from ruleflow.functions import sequences as S
 from ruleflow.operators.positions import hash_positions, range_positions
+from ruleflow.storage import materialize
 
 
 def length_batches(
-    df: DataFrame, length: str, batch_size: int, max_length: int, row_id: str = "row_id", descending: bool = False
+    df: DataFrame, length: str, batch_size: int, max_length: int, row_id: str = "row_id", descending: bool = False,
+    digits: int = 3,
 ) -> DataFrame:
     """Adds ``capped_length``, ``position`` and ``batch_id`` for runs of similar length.
 
     Equal lengths are ordered by a digest of the id. Many rows share the capped length, so that digest
-    also splits them over buckets. ``df`` should hold ids and lengths only; texts can be joined later.
+    also splits them over buckets. ``df`` should hold ids and lengths only; texts can be joined later. A
+    NULL length is 0. ``digits`` as in ``hash_positions``.
     """
-    capped = F.least(F.col(length), F.lit(max_length))
+    capped = F.least(F.coalesce(F.col(length), F.lit(0)), F.lit(max_length))
     keyed = df.withColumns({"capped_length": capped, "_key": F.md5(F.col(row_id).cast("string"))})
     keyed = keyed.withColumn("_rank", -F.col("capped_length") if descending else F.col("capped_length"))
-    placed = hash_positions(keyed, "_key", leading=["_rank"])
+    placed = hash_positions(keyed, "_key", leading=["_rank"], digits=digits)
     return placed.withColumn("batch_id", F.floor(F.col("position") / batch_size)).drop("_key", "_rank", "group_rows")
 
 
@@ -32,7 +35,14 @@ def with_batch_width(df: DataFrame, length: str = "capped_length") -> DataFrame:
 def batch_sequences(
     df: DataFrame, ids: str, batch_size: int, max_length: int, row_id: str = "row_id", descending: bool = False
 ) -> DataFrame:
-    """``df`` with ``batch_id`` and ``width``. Batches are formed on ids and lengths; the arrays move once."""
+    """``df`` with ``batch_id`` and ``width``.
+
+    The sequences are stored once, so whatever made them runs once; batches are formed on the stored ids
+    and lengths. A NULL sequence is an empty one. A NULL id is an error, as its row could not be found again.
+    """
+    known = F.when(F.col(row_id).isNull(), F.raise_error(F.lit(f"{row_id} is NULL")).cast("boolean")).otherwise(True)
+    empty = F.array().cast(df.schema[ids].dataType)
+    df = materialize(df.filter(known).withColumn(ids, F.coalesce(F.col(ids), empty)), "sequences")
     lengths = df.select(row_id, F.size(ids).alias("length"))
     batches = with_batch_width(length_batches(lengths, "length", batch_size, max_length, row_id, descending))
     return df.join(batches.select(row_id, "batch_id", "width"), row_id)

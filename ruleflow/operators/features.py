@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ruleflow.functions.text import WHITESPACE_RUN, fold_text, words
+from ruleflow.storage import materialize_by
 
 
 @dataclass(frozen=True)
@@ -90,6 +92,19 @@ def term_counts(df: DataFrame, text: str, row_id: str = "row_id", keep: Sequence
     return words_.unionByName(chars)
 
 
+def stored_counts(
+    df: DataFrame, text: str, row_id: str = "row_id", keep: Sequence[str] = (), blocks: Sequence[Block] = BLOCKS
+) -> DataFrame:
+    """``term_counts`` of the given blocks, made once and stored by row.
+
+    Statistics, vocabularies and weights of any number of folds then read the table, and whatever groups it
+    by row needs no exchange.
+    """
+    folded = folded_rows(df, text, row_id, keep)
+    kept = [counts for block, counts in zip(BLOCKS, block_counts(folded), strict=True) if block in blocks]
+    return materialize_by(reduce(DataFrame.unionByName, kept), "row_id", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "counts")
+
+
 def term_statistics(counts: DataFrame) -> DataFrame:
     """Rows and corpus occurrences per term; counts are combined before the shuffle."""
     return counts.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
@@ -98,17 +113,19 @@ def term_statistics(counts: DataFrame) -> DataFrame:
 def prune_vocabulary(stats: DataFrame, rows: Column | int, block: Block) -> DataFrame:
     """``block, term, df, tf`` of the terms inside the limits, the most frequent first, ties by term.
 
-    ``stats`` should be stored: it is read twice. The first pass finds the corpus count that the last
-    kept term has, from the number of terms per count, so only about ``max_features`` terms are sorted.
+    ``stats`` should be stored: it is read twice. The first pass finds about which corpus count the last
+    kept term has, from the number of terms per step of a scale, so only about ``max_features`` terms are
+    sorted.
     """
     inside = stats.filter(
         (F.col("block") == block.name) & (F.col("df") >= block.min_df) & (F.col("df") <= rows * F.lit(block.max_df))
     )
-    # One row per distinct corpus count: few, because n distinct counts need at least n*n/2 occurrences.
-    downwards = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = inside.groupBy("tf").agg(F.count(F.lit(1)).alias("n")).withColumn("reached", F.sum("n").over(downwards))
-    lowest = reached.filter(F.col("reached") >= block.max_features).agg(F.max("tf")).scalar()
-    frequent = inside.filter(F.col("tf") >= F.coalesce(lowest, F.lit(0)))
+    # A logarithmic scale of 64 steps per doubling has at most 4,096 steps, whatever the corpus.
+    step = F.floor(F.log2("tf") * 64)
+    downwards = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = inside.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).withColumn("reached", F.sum("n").over(downwards))
+    lowest = reached.filter(F.col("reached") >= block.max_features).agg(F.max("step")).scalar()
+    frequent = inside.filter(step >= F.coalesce(lowest, F.lit(0)))
     return frequent.orderBy(F.desc("tf"), "term").limit(block.max_features)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Scorer = Callable[[pd.Series], pd.Series]
 
@@ -16,24 +19,19 @@ def score_batches(
 ) -> DataFrame:
     """``row_id`` and the scorer's output per row.
 
-    ``load`` runs once per task, the scorer once per batch of similar text length. Range partitions on
-    the length keep batches even; the id in the range key splits a length that very many rows share.
-    The result does not depend on the batches. Store it before ranking, which reads its input twice.
+    ``load`` runs once per Python worker, however many tasks it gets, and the scorer once per batch. Rows
+    are ordered by text length inside their own partitions, so that batches hold texts of similar length
+    and no text moves. The result does not depend on the batches. Store it before ranking, which reads
+    its input more than once.
     """
-    ordered = (
-        df.select("row_id", text, F.length(text).alias("_length"))
-        .repartitionByRange("_length", "row_id")
-        .sortWithinPartitions("_length")
-    )
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[np.ndarray], np.ndarray]:
         scorer = load()
-        for part in parts:
-            for start in range(0, len(part), batch_size):
-                batch = part.iloc[start : start + batch_size]
-                yield pd.DataFrame({"row_id": batch["row_id"], out: scorer(batch[text])})
+        return lambda texts: np.asarray(scorer(pd.Series(texts)), dtype="float64")
 
-    return ordered.mapInPandas(run, f"row_id long, {out} double")
+    predict = predict_batch_udf(make, return_type=DoubleType(), batch_size=batch_size)
+    ordered = df.select("row_id", F.col(text).alias("_text")).sortWithinPartitions(F.length("_text"))
+    return ordered.select("row_id", predict("_text").alias(out))
 
 
 def length_scorer(slope: float = 0.001, offset: float = -1.0) -> Callable[[], Scorer]:

@@ -67,6 +67,19 @@ def prediction_files(spark, sf_dir):
     return predictions.read_predictions(spark, folder, blending.DEFAULT_WEIGHTS)
 
 
+@query("a4_prediction_files_mixed", PREDICTIONS + """
+SELECT slot, row_id, rule_violation FROM f_predictions""")
+def prediction_files_mixed(spark, sf_dir):
+    """Files that differ in the order of their columns and in extra ones."""
+    folder = scratch_path(spark, "predictions-mixed")
+    rows = fixtures.predictions(spark, sf_dir)
+    orders = (["row_id", "rule_violation"], ["rule_violation", "row_id"], ["row_id", "rule", "rule_violation"], ["rule", "rule_violation", "slot", "row_id"])
+    for slot in fixtures.PREDICTION_SLOTS:
+        columns = orders[slot % len(orders)]
+        sinks.write_csv(rows.filter(F.col("slot") == slot).select(*columns), f"{folder}/submission{slot}.csv")
+    return predictions.read_predictions(spark, folder, blending.DEFAULT_WEIGHTS)
+
+
 @query("a5_submission_sink", PREDICTIONS + blend_sql(blending.DEFAULT_WEIGHTS, "total"))
 def submission_sink(spark, sf_dir):
     path = scratch_path(spark, "submission-csv")

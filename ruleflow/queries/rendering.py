@@ -109,6 +109,23 @@ WITH markers(family, role, opener, closer) AS (VALUES {MARKERS}),
 last AS (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id)
 SELECT c.conv_id, c.turn, m.family,
   m.opener || c.text || CASE WHEN c.turn < l.last_turn THEN m.closer ELSE '' END AS piece
-FROM conversations c JOIN markers m ON c.role = m.role JOIN last l ON c.conv_id = l.conv_id""")
+FROM conversations c JOIN markers m ON m.role = CASE WHEN c.role IN ('system', 'user') THEN c.role ELSE 'assistant' END
+JOIN last l ON c.conv_id = l.conv_id""")
 def chat_turns(spark, sf_dir):
     return rendering.chat_turn_pieces(fixtures.table(spark, sf_dir, "conversations"))
+
+
+@query("d8_chat_turns_roles", f"""
+WITH markers(family, role, opener, closer) AS (VALUES {MARKERS}),
+c AS (SELECT conv_id, turn, text, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'tool' WHEN (conv_id + turn) % 7 > 0 THEN role END AS role
+  FROM conversations),
+last AS (SELECT conv_id, max(turn) AS last_turn FROM c GROUP BY conv_id),
+named AS (SELECT * FROM c LEFT JOIN (SELECT DISTINCT role AS known FROM markers) k ON c.role = k.known)
+SELECT n.conv_id, n.turn, m.family,
+  m.opener || n.text || CASE WHEN n.turn < l.last_turn THEN m.closer ELSE '' END AS piece
+FROM named n JOIN markers m ON m.role = coalesce(n.known, 'assistant') JOIN last l ON n.conv_id = l.conv_id""")
+def chat_turns_roles(spark, sf_dir):
+    """Turns with another role or none, the last ones among them."""
+    place = F.col("conv_id") + F.col("turn")
+    role = F.when(place % 5 == 0, "tool").when(place % 7 > 0, F.col("role"))
+    return rendering.chat_turn_pieces(fixtures.table(spark, sf_dir, "conversations").withColumn("role", role))

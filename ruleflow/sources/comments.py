@@ -18,8 +18,9 @@ TEST_COLUMNS = (
 TEXT_NAMES = ("body", "comment", "text")
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-# The last option defaults to the NUL character for this quoting, which would lose NULs before a quote.
-READ_OPTIONS = {**CSV_OPTIONS, "charToEscapeQuoteEscaping": '"'}
+# The escaping option defaults to the NUL character for this quoting, which would lose NULs before a quote. Files of
+# one folder with different headers are an error; otherwise their columns would shift.
+READ_OPTIONS = {**CSV_OPTIONS, "charToEscapeQuoteEscaping": '"', "enforceSchema": "false"}
 
 
 def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:

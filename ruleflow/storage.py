@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ def local_session(app: str = "ruleflow", cores: str = "8", partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("RULEFLOW_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -67,11 +68,21 @@ class Scratch:
         self.remove()
 
 
+def _located(spark: SparkSession, path: str) -> tuple:
+    """A path and the file system it is on."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, files = _located(spark, path)
+    return files.exists(target)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is on."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _located(spark, path)
+    files.delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -84,3 +95,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_by(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
+    """``materialize`` in buckets of ``column``: joins, windows and aggregations on it read without an exchange.
+
+    ``df`` should come in as many hash partitions of the column, so that each task writes one file. The
+    table is external: dropping it, or ending the session, leaves the files to the scratch folder.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)

@@ -55,6 +55,16 @@ def test_ngrams_need_one_exchange(spark):
     assert all("REPARTITION_BY_NUM" in line or "block" in line for line in moved)
 
 
+def test_stored_counts_are_grouped_by_row_without_an_exchange(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "row_id long, text string")
+    counts = features.stored_counts(df, "text")
+    kept = features.prune_vocabulary(features.term_statistics(counts), len(TEXTS), features.CHAR_BLOCK)
+    weights = features.tfidf_weights(counts, kept, len(TEXTS))
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(row_id" not in plan and "Python" not in plan and "Arrow" not in plan
+    assert as_counter(counts.filter("block = 'word'").collect()) == as_counter(features.word_counts(features.folded_rows(df, "text")).collect())
+
+
 def corpus(spark, rows=60, seed=5):
     random.seed(seed)
     vocabulary = [f"w{i}" for i in range(40)]

@@ -187,3 +187,18 @@ def test_only_existing_prediction_files_are_read(spark):
     assert got == {tuple(r) for r in df.collect()}
     with pytest.raises(FileNotFoundError):
         predictions.read_predictions(spark, folder, [2, 4])
+
+
+def test_bad_prediction_files_are_told_from_missing_ones(spark):
+    folder = scratch_path(spark, "bad-predictions")
+    sinks.write_csv(spark.createDataFrame([(1, 0.5)], "row_id long, score double"), f"{folder}/submission1.csv")
+    with pytest.raises(ValueError, match="rule_violation"):
+        predictions.read_predictions(spark, folder, [1, 2])
+    with pytest.raises(FileNotFoundError):
+        predictions.read_predictions(spark, folder, [2])
+    mixed = f"{folder}/submission3.csv"
+    sinks.write_csv(spark.createDataFrame([(1, 0.5)], "row_id long, rule_violation double"), mixed)
+    swapped = spark.createDataFrame([(0.25, 2)], "rule_violation double, row_id long")
+    swapped.write.mode("append").options(**comments.CSV_OPTIONS).csv(mixed)
+    with pytest.raises(Exception, match="(?i)header"):
+        predictions.read_predictions(spark, folder, [3]).collect()

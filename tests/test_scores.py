@@ -1,7 +1,9 @@
 """Ranking, blending, contracts, AUC, probabilities, texts and sequences."""
 
 import math
+import os
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -233,6 +235,38 @@ def test_batch_scores_do_not_depend_on_batches(spark):
     assert one == many == {i: -1.0 + 0.001 * (i % 50) for i in range(300)}
 
 
+def test_model_is_loaded_once_per_worker_and_texts_stay(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        open(f"{folder}/{os.getpid()}-{time.time_ns()}", "w").close()
+        return lambda texts: texts.str.len().astype("float64")
+
+    df = spark.range(640).repartition(32).select(F.col("id").alias("row_id"), F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")).alias("text"))
+    scored = score_batches(df, load, batch_size=4)
+    assert {r.row_id: r.logit for r in scored.collect()} == {i: float(i % 9) for i in range(640)}
+    loads = [name.split("-")[0] for name in os.listdir(folder)]
+    assert len(loads) == len(set(loads)) <= 16
+    texts = spark.createDataFrame([(1, "a")], "row_id long, text string")
+    assert "Exchange" not in score_batches(texts, load)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_sequences_are_empty_and_null_ids_an_error(spark):
+    df = spark.createDataFrame([(1, None), (2, [5, 6])], "row_id long, ids array<int>")
+    rows = batching.pad_left(batching.batch_sequences(df, "ids", 2, 8), "ids").collect()
+    assert {r.row_id: (r.width, r.padded_ids) for r in rows} == {1: (2, [0, 0]), 2: (2, [5, 6])}
+    with pytest.raises(Exception, match="row_id is NULL"):
+        batching.batch_sequences(spark.createDataFrame([(None, [1])], "row_id long, ids array<int>"), "ids", 2, 8).collect()
+
+
+def test_other_roles_are_written_as_the_assistant(spark):
+    turns = [(1, 0, "user", "u"), (1, 1, "tool", "t"), (1, 2, None, "n")]
+    pieces = rendering.chat_turn_pieces(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    chats = spark.createDataFrame([([("user", "u"), ("tool", "t"), (None, "n")],)], "conversation array<struct<role:string,content:string>>")
+    for row in rendering.chat_texts(chats).collect():
+        assert "".join(p.piece for p in sorted(pieces, key=lambda p: p.turn) if p.family == row.family) == row.text
+
+
 def test_shards_are_dense(spark):
     df = spark.createDataFrame([(i * i - 50,) for i in range(101)], "row_id long")
     rows = sorted((r.shard, r.shard_position) for r in batching.round_robin(df, 2).collect())

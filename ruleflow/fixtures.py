@@ -73,12 +73,23 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows to score with two positive and two negative examples of their rule.
+    """Rows to score with two positive and two negative examples of their rule."""
+    return with_examples(spark, sf_dir, unlabelled(spark, sf_dir))
+
+
+def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows with a 0/1 label and examples of their rule; a row is never its own example."""
+    usable = train(spark, sf_dir).filter(F.col("rule_violation").isin("0", "1"))
+    return with_examples(spark, sf_dir, usable).join(usable.select("row_id", "rule_violation"), "row_id")
+
+
+def with_examples(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """``rows`` with up to four examples from the pool, without one that is the row itself.
 
     Each row asks the pool for up to four numbered ids through one equi-join; the numbers spread a large
     rule over all keys. The texts of the ids are fetched after that.
     """
-    rows, labelled = unlabelled(spark, sf_dir), train(spark, sf_dir)
+    labelled = train(spark, sf_dir)
     sizes = labelled.groupBy("rule").agg(
         F.count_if(F.col("rule_violation") == "1").alias("np"), F.count_if(F.col("rule_violation") == "0").alias("nn")
     )
@@ -93,6 +104,7 @@ def test(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     requests = rows.select("row_id", "rule").join(sizes, "rule").select("row_id", "rule", F.inline(wishes))
     chosen = requests.dropna(subset=["idx"]).join(pool(spark, sf_dir).drop("n"), ["rule", "rule_violation", "idx"])
+    chosen = chosen.filter("example_id <> row_id")
     texts = labelled.select(F.col("row_id").alias("example_id"), F.col("body").alias("example_body"))
     answered = chosen.select("row_id", "example", "example_id").join(texts, "example_id")
     # At most four entries per row.

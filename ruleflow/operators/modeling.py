@@ -28,9 +28,6 @@ ITERATIONS = 2_000
 # Value of the levelling row in every column.
 REACH = 1e10
 
-# Rows per task of an iterative fit; an iteration over fewer rows is all scheduling.
-ROWS_PER_TASK = 5_000
-
 T, R = TypeVar("T"), TypeVar("R")
 
 
@@ -103,24 +100,57 @@ def levelling_row(like: DataFrame, size: int, rows: int) -> DataFrame:
     return like.sparkSession.createDataFrame([(1.0, rows / REACH**2, values)], like.schema)
 
 
-def fit_balanced(train: DataFrame, label: str = "label") -> LogisticRegressionModel:
+def balanced(train: DataFrame, label: str = "label") -> tuple[Column, int]:
+    """The weight of a row's class, and the number of rows."""
+    classes = {row[label]: row for row in class_weights(train, label).collect()}  # one row per class
+    weight = F.coalesce(*[F.when(F.col(label) == value, row["weight"]) for value, row in classes.items()])
+    return weight, sum(row["n"] for row in classes.values())
+
+
+def fit_balanced(train: DataFrame, label: str = "label", tasks: int | None = None) -> LogisticRegressionModel:
     """L2-regularised fit with balanced class weights.
 
-    Balanced weights sum to the row count, so a per-row strength C becomes 1 / (C * rows).
+    Balanced weights sum to the row count, so a per-row strength C becomes 1 / (C * rows). ``tasks`` merges
+    the partitions of a small table, where an iteration would be all scheduling; by default they stay.
     """
-    classes = {row[label]: row for row in class_weights(train, label).collect()}  # one row per class
-    rows = sum(row["n"] for row in classes.values())
-    weight = F.coalesce(*[F.when(F.col(label) == value, row["weight"]) for value, row in classes.items()])
+    weight, rows = balanced(train, label)
     side = F.when(F.col("sign") > 0, F.col(label)).otherwise(1 - F.col(label))
     weighted = train.select(side.cast("double").alias("side"), weight.alias("weight"), "features")
     size = train.select(F.col("features")).first()["features"].size
-    levelled = weighted.coalesce(rows // ROWS_PER_TASK + 1).unionByName(levelling_row(weighted, size, rows))
+    merged = weighted.coalesce(tasks) if tasks else weighted
+    levelled = merged.unionByName(levelling_row(weighted, size, rows))
     return LogisticRegression(
         featuresCol="features", labelCol="side", weightCol="weight", maxIter=ITERATIONS, tol=1e-8,
         regParam=1.0 / (STRENGTH * rows), elasticNetParam=0.0, standardization=False, fitIntercept=False,
     ).fit(levelled)
 
 
+def gradient(train: DataFrame, model: LogisticRegressionModel, label: str = "label") -> DataFrame:
+    """``index, gradient`` of the objective at a fitted model, per row: zero everywhere at the optimum.
+
+    Summed by position in the long form of the vectors, with partial sums before the shuffle.
+    """
+    weight, rows = balanced(train, label)
+    strength = STRENGTH * rows
+    error = weight * (sigmoid(margin()) - F.col(label))
+    errors = model.transform(train).select("row_id", error.alias("error"))
+    cells = vector_cells(train).join(errors, "row_id")
+    summed = cells.groupBy("index").agg((F.sum(F.col("error") * F.col("value")) / rows).alias("loss"))
+    coefficients = train.sparkSession.createDataFrame(
+        [(i, float(c) / (STRENGTH * rows)) for i, c in enumerate(model.coefficients)], "index int, penalty double"
+    )  # as long as the vocabulary
+    joined = coefficients.join(summed, "index", "left")
+    return joined.select("index", (F.col("penalty") + F.coalesce("loss", F.lit(0.0))).alias("gradient"))
+
+
+def vector_cells(stored: DataFrame) -> DataFrame:
+    """``row_id, index, value`` of a table of ``sparse_vectors``, read as the plain columns it is stored in; not mirrored."""
+    plain = "row_id long, sign double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+    rows = stored.sparkSession.read.schema(plain).parquet(*stored.inputFiles())
+    pairs = F.arrays_zip(F.col("features.indices").alias("index"), F.col("features.values").alias("value"))
+    return rows.select("row_id", "sign", F.inline(pairs)).select("row_id", "index", (F.col("sign") * F.col("value")).alias("value"))
+
+
 def soft_target_rows(df: DataFrame, label: str = "label") -> DataFrame:
     """Each row twice, as label 1 with its soft target as weight and as label 0 with the rest.
 
@@ -146,7 +176,7 @@ def fit_sigmoid(scored: DataFrame, label: str = "label") -> tuple[float, float]:
 
 
 def fit_calibrated(
-    train: DataFrame, inner: str = "inner", folds: int = 3, label: str = "label", parallelism: int = 3
+    train: DataFrame, inner: str = "inner", folds: int = 3, label: str = "label", parallelism: int = 3, tasks: int | None = None
 ) -> list[Calibrated]:
     """One classifier per inner fold, fitted on the other folds and calibrated on its own.
 
@@ -154,7 +184,7 @@ def fit_calibrated(
     """
 
     def fit(fold: int) -> Calibrated:
-        model = fit_balanced(train.filter(F.col(inner) != fold), label)
+        model = fit_balanced(train.filter(F.col(inner) != fold), label, tasks)
         held = model.transform(train.filter(F.col(inner) == fold)).select(label, margin().alias("margin"))
         return Calibrated(model, *fit_sigmoid(held, label))
 

@@ -57,7 +57,7 @@ TRAIN = COMMENTS + """, f_train AS (
   WHERE rule_violation IS NOT NULL AND substr(md5(CAST(row_id AS VARCHAR)), 1, 1) < 'c')"""
 
 TEST = TRAIN + """, f_pool AS (
-  SELECT rule, rule_violation, body,
+  SELECT row_id, rule, rule_violation, body,
     row_number() OVER (PARTITION BY rule, rule_violation ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) - 1 AS idx,
     count(*) OVER (PARTITION BY rule, rule_violation) AS n
   FROM f_train WHERE rule_violation IN ('0', '1')),
@@ -77,6 +77,16 @@ f_test AS (
   LEFT JOIN f_pool n1 ON n1.rule = t.rule AND n1.rule_violation = '0' AND n1.idx = t.row_id % s.nn
   LEFT JOIN f_pool n2 ON n2.rule = t.rule AND n2.rule_violation = '0' AND n2.idx = (t.row_id + 1) % s.nn)"""
 
+TRAIN_PAIRS = TEST + """, f_train_pairs AS (
+  SELECT t.row_id, t.body, t.subreddit, t.rule, t.rule_violation,
+         p1.body AS positive_example_1, p2.body AS positive_example_2,
+         n1.body AS negative_example_1, n2.body AS negative_example_2
+  FROM (SELECT * FROM f_train WHERE rule_violation IN ('0', '1')) t LEFT JOIN f_sizes s ON t.rule = s.rule
+  LEFT JOIN f_pool p1 ON p1.rule = t.rule AND p1.rule_violation = '1' AND p1.idx = t.row_id % s.np AND p1.row_id <> t.row_id
+  LEFT JOIN f_pool p2 ON p2.rule = t.rule AND p2.rule_violation = '1' AND p2.idx = (t.row_id + 1) % s.np AND p2.row_id <> t.row_id
+  LEFT JOIN f_pool n1 ON n1.rule = t.rule AND n1.rule_violation = '0' AND n1.idx = t.row_id % s.nn AND n1.row_id <> t.row_id
+  LEFT JOIN f_pool n2 ON n2.rule = t.rule AND n2.rule_violation = '0' AND n2.idx = (t.row_id + 1) % s.nn AND n2.row_id <> t.row_id)"""
+
 PREDICTIONS = TRAIN + f""", f_rows AS (
   SELECT c.row_id, c.rule FROM f_comments c
   LEFT JOIN f_train x ON c.row_id = x.row_id WHERE x.row_id IS NULL),

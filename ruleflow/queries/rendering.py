@@ -44,12 +44,14 @@ def completion_prompt(spark, sf_dir):
     return rows.select("row_id", T.completion_prompt(F.col("body"), F.col("rule")).alias("prompt"))
 
 
-@query("d3_pair_text", TEST + f"""
-SELECT row_id, 'COMMENT: ' || coalesce(body, '') || {NL} || 'SUBREDDIT: ' || coalesce(subreddit, '') || {NL}
+PAIR_TEXT = f"""'COMMENT: ' || coalesce(body, '') || {NL} || 'SUBREDDIT: ' || coalesce(subreddit, '') || {NL}
   || 'RULE: ' || coalesce(rule, '') || {NL} || 'VIOLATING EXAMPLES: ' || coalesce(positive_example_1, '')
   || ' [SEP] ' || coalesce(positive_example_2, '') || {NL} || 'NON-VIOLATING EXAMPLES: '
-  || coalesce(negative_example_1, '') || ' [SEP] ' || coalesce(negative_example_2, '') AS pair_text
-FROM f_test""")
+  || coalesce(negative_example_1, '') || ' [SEP] ' || coalesce(negative_example_2, '')"""
+
+
+@query("d3_pair_text", TEST + f"""
+SELECT row_id, {PAIR_TEXT} AS pair_text FROM f_test""")
 def pair_text(spark, sf_dir):
     return rendering.with_pair_text(fixtures.test(spark, sf_dir)).select("row_id", "pair_text")
 

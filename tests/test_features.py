@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleflow.functions.text import strip_accents_py
-from ruleflow.operators import features, modeling
+from ruleflow.operators import features, modeling, similarity
 from ruleflow.plans import baseline
 
 TEXTS = [
@@ -206,3 +206,17 @@ def test_out_of_fold_and_final_scores(spark, labelled, prepared):
     assert sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) > 0.6
     final = baseline.final_scores(prepared, df.select("row_id", "text")).collect()
     assert len(final) == len(rows) and all(0 < r.rule_violation < 1 for r in final)
+
+
+def test_rows_to_score_must_not_be_training_rows(spark):
+    train = spark.createDataFrame([(1, 0, "a"), (2, 1, "b")], "row_id long, label int, text string")
+    baseline.require_disjoint(train, spark.createDataFrame([(3, "c")], "row_id long, text string"))
+    with pytest.raises(ValueError, match="row_id 2"):
+        baseline.require_disjoint(train, spark.createDataFrame([(2, "c")], "row_id long, text string"))
+
+
+def test_similarity_of_equal_and_foreign_texts(spark):
+    rows = [(1, "red green blue", "red green blue", None), (2, "red green", "yellow", "green red red"), (3, "", "red", "red")]
+    df = spark.createDataFrame(rows, "row_id long, body string, rule string, example string")
+    got = {r.row_id: (r.similarity_rule, r.similarity_example) for r in similarity.similarity_features(df, ["body", "rule", "example"]).collect()}
+    assert got[1] == (pytest.approx(1.0), 0.0) and got[2][0] == 0.0 and 0.7 < got[2][1] < 1 and got[3] == (0.0, 0.0)

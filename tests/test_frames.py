@@ -16,24 +16,29 @@ TEST = (
 )
 
 
-def test_examples_are_repeated(spark):
-    train = spark.createDataFrame([("base", "rule", "1")], TRAIN)
-    test = spark.createDataFrame([(1, "target", "p1", "p2", "n1", "n2", "rule")], TEST)
-    frame = training_frame.cleaned_frame(train, test)
-    assert frame.count() == 9
-    assert frame.filter("source = 'test_examples'").count() == 8
-    assert frame.filter("body = 'target'").count() == 0
+def test_only_example_rows_are_copied(spark):
+    train = spark.createDataFrame([("shared words", "No ads", "0"), ("other words", "No ads", "1")], TRAIN)
+    test = spark.createDataFrame([(41, "scored words", "buy this", "buy that", "hello there", "shared words", "No ads")], TEST)
+    for copies in (1, 2, 3):
+        frame = training_frame.cleaned_frame(train, test, repeats=copies)
+        counts = {(r.source, r.body): r["count"] for r in frame.groupBy("source", "body").count().collect()}
+        examples = {("test_examples", b): copies for b in ("buy this", "buy that", "hello there", "shared words")}
+        assert counts == examples | {("train", "shared words"): 1, ("train", "other words"): 1}
 
 
-def test_dirty_and_duplicate_rows_go(spark):
+def test_cleaning_decides_what_is_equal_and_what_goes(spark):
     train = spark.createDataFrame(
-        [(" valid\r\n", " rule ", "1"), (" valid\r\n", " rule ", "1"), (" ", "rule", "0"), ("bad label", "rule", "2")],
+        [
+            ("line\rend ", "No links", "1.0"), ("line\nend", " No links", "1"), ("line\r\nend\0", "No links", "1e0"),
+            ("\0\0", "No links", "0"), ("kept", "No links", "0.5"), ("kept", "\t", "0"), ("kept", None, "0"), (None, "No links", "1"),
+        ],
         TRAIN,
     )
-    test = spark.createDataFrame([(1, "test", " p1 ", None, "n1\0", " ", " rule ")], TEST)
+    test = spark.createDataFrame([(7, "scored", "line\nend", "\u3000", None, "calm\r", "No links ")], TEST)
     rows = training_frame.cleaned_frame(train, test, repeats=1).collect()
-    assert {(r.body, r.rule, r.rule_violation) for r in rows} == {("valid", "rule", 1), ("p1", "rule", 1), ("n1", "rule", 0)}
-    assert len(rows) == 3
+    assert sorted((r.source, r.body, r.rule, r.rule_violation) for r in rows) == [
+        ("test_examples", "calm", "No links", 0), ("test_examples", "line\nend", "No links", 1), ("train", "line\nend", "No links", 1),
+    ]
 
 
 def test_raw_frame_keeps_missing_and_dirty_rows(spark):

@@ -34,8 +34,8 @@ def ranked_by_window(df):
 
 
 def test_rank_demo(spark):
-    rows = [(1, "A", 0.4), (2, "A", 0.1), (3, "A", 0.8), (4, "B", 0.7), (5, "B", 0.2)]
-    assert ranked(spark.createDataFrame(rows, SCORED)) == {1: 0.5, 2: 0.0, 3: 1.0, 4: 1.0, 5: 0.0}
+    rows = [(1, "x", 0.9), (2, "x", -3.0), (3, "x", 0.9), (4, "x", 12.5), (5, "x", 0.0), (6, "y", 0.3)]
+    assert ranked(spark.createDataFrame(rows, SCORED)) == {1: 0.625, 2: 0.0, 3: 0.625, 4: 1.0, 5: 0.25, 6: 0.0}
 
 
 def test_rank_ties_missing_and_singletons(spark):
@@ -169,9 +169,10 @@ def test_slots_of_any_number(spark):
 
 
 def test_pair_softmax_demo_and_extremes(spark):
-    df = spark.createDataFrame([(-0.2, -1.8), (-2.0, -0.1), (1000.0, -1000.0), (-1e9, -1e9)], "y double, n double")
+    pairs = [(0.5, -0.5), (-3.0, -1.0), (1000.0, -1000.0), (-1e9, -1e9)]
+    df = spark.createDataFrame(pairs, "y double, n double")
     got = [r.p for r in df.select(scores.pair_softmax(F.col("y"), F.col("n")).alias("p")).collect()]
-    assert got == pytest.approx([0.8320, 0.1301, 1.0, 0.5], abs=1e-4)
+    assert got == pytest.approx([1 / (1 + math.exp(-1)), 1 / (1 + math.exp(2)), 1.0, 0.5])
 
 
 def test_verdict_probability_with_an_empty_group(spark):

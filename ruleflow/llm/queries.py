@@ -58,6 +58,51 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def either_case(pattern: str) -> str:
+    """Letters of a pattern outside classes and escapes as classes of both cases."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            size = 4 if pattern[i + 1] == "x" else 2
+            out.append(pattern[i : i + size])
+            i += size
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out.append(f"[{c.upper()}{c.lower()}]" if c.isalpha() and not inside else c)
+        i += 1
+    return "".join(out)
+
+
+def spans_sql(number: int, rule: secret_scan.Rule) -> str:
+    """Every match of a rule: matches and the pieces between them, whose lengths add up to its start."""
+    pattern = (either_case(rule.pattern) if rule.ignore_case else rule.pattern).replace("'", "''")
+    enough = f"length(regexp_extract(m[i], '{pattern}', {rule.group})) >= {rule.least}" if rule.least else "true"
+    return f"""SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, m[i] AS found,
+    coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS p FROM texts)) WHERE {enough}"""
+
+
+SECRETS = f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(spans_sql(i, rule) for i, rule in enumerate(secret_scan.RULES))}),
+listed AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(found) AS BIGINT) AS span FROM spans)
+SELECT t.doc_id, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, number) FILTER (number < {len(secret_scan.BASE_RULES)}), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, number), '') AS spans
+FROM texts t LEFT JOIN listed l ON t.doc_id = l.doc_id GROUP BY t.doc_id"""
+
+# The given pages hold one article element each, with paragraphs and a heading, and five character references.
+REFERENCES = {"&quot;": '"', "&copy;": "\u00a9", "&middot;": "\u00b7", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+PART = "regexp_replace(x, '<[^>]*>', ' ', 'g')"
+for name, char in REFERENCES.items():
+    PART = f"replace({PART}, '{name}', '{char}')"
+ARTICLES = f"""SELECT page_id, url, text, length(text) AS n_chars FROM (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(
+    regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace({PART}, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM pages)"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -70,4 +115,7 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_html_text": ARTICLES,
+    "op9_secret_scan": SECRETS,
+}

@@ -12,6 +12,7 @@ there, so the words of a text are searched one by one and the ids of short words
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,9 +26,10 @@ from ruleflow.llm.blocks import text_blocks
 from ruleflow.llm.token_counts import SPACE, pre_tokens
 
 # Words whose ids a worker keeps; longer ones than KEPT_CHARS are searched each time.
-KEPT, KEPT_CHARS = 300_000, 64
+KEPT, KEPT_CHARS = 500_000, 64
 # A character without a piece costs this much more than the worst piece, as in the library.
 UNKNOWN_PENALTY = 10
+NEVER = float("-inf")
 
 
 class Pieces:
@@ -59,7 +61,8 @@ class Pieces:
             raise ValueError("a piece crosses a word or line boundary")
         self.byte_id = [byte_ids[b] for b in range(256)]
         self.longest = max(map(len, self.score))
-        self.beginnings = {p[:n] for p in self.score for n in range(1, len(p))}
+        # Score of every piece, and of what is only the beginning of some: never chosen, but worth going on.
+        self.reach = {p[:n]: NEVER for p in self.score for n in range(1, len(p))} | self.score
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
 
     def ids(self, pieces: Iterable[str]) -> list[int]:
@@ -71,6 +74,32 @@ class Pieces:
         return found
 
 
+def extend(text: str, start: int, best: list, back: list[int], pieces: Pieces) -> None:
+    """Try every piece that starts at a boundary that has its best score."""
+    reach, base = pieces.reach, best[start]
+    end = start + 1
+    score = reach.get(text[start:end], NEVER)
+    value = base + (score if score > NEVER else pieces.unknown)
+    if value > best[end]:
+        best[end], back[end] = value, start
+    for end in range(start + 2, min(len(text), start + pieces.longest) + 1): 
+        score = reach.get(text[start:end])
+        if score is None:
+            return
+        value = base + score
+        if value > best[end]:
+            best[end], back[end] = value, start
+
+
+def trace(text: str, back: list[int], end: int) -> list[str]:
+    """The pieces on the way to a boundary."""
+    found = []
+    while end:
+        found.append(text[back[end] : end])
+        end = back[end]
+    return found[::-1]
+
+
 class Stream:
     """Committed pieces of one text, given in parts of any size.
 
@@ -80,13 +109,13 @@ class Stream:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.window = ""  # characters not committed yet
-        self.best: list[int | None] = [0]  # score of every boundary of the window
+        self.best: list = [0]  # score of every boundary of the window
         self.back = [0]  # the boundary before
         self.done = 0  # boundaries from which all pieces have been tried
 
     def feed(self, text: str) -> Iterator[str]:
         self.window += text
-        self.best += [None] * len(text)
+        self.best += [NEVER] * len(text)
         self.back += [0] * len(text)
         # Only boundaries from which the longest piece fits, so that no piece is missed; the rest waits for more.
         while self.done < len(self.window) - self.pieces.longest:
@@ -103,24 +132,11 @@ class Stream:
         yield from self._commit(len(self.window))
 
     def _extend(self, start: int) -> None:
-        """Try every piece that starts at a boundary."""
-        window, best, back = self.window, self.best, self.back
-        score, beginnings = self.pieces.score, self.pieces.beginnings
-        base = best[start]
-        end = start + 1
-        single = score.get(window[start:end], self.pieces.unknown)
-        if best[end] is None or base + single > best[end]:
-            best[end], back[end] = base + single, start
-        last = min(len(window), start + self.pieces.longest)
-        while end < last and window[start:end] in beginnings:
-            end += 1
-            more = score.get(window[start:end])
-            if more is not None and (best[end] is None or base + more > best[end]):
-                best[end], back[end] = base + more, start
+        extend(self.window, start, self.best, self.back, self.pieces)
 
     def _converged(self) -> int:
         """The last boundary that every path which can still win goes through."""
-        live = {b for b in range(self.done, min(len(self.window), self.done + self.pieces.longest) + 1) if self.best[b] is not None}
+        live = {b for b in range(self.done, min(len(self.window), self.done + self.pieces.longest) + 1) if self.best[b] > NEVER}
         while len(live) > 1:
             furthest = max(live)
             live.remove(furthest)
@@ -128,16 +144,20 @@ class Stream:
         return live.pop()
 
     def _commit(self, boundary: int) -> list[str]:
-        found, end = [], boundary
-        while end:
-            found.append(self.window[self.back[end] : end])
-            end = self.back[end]
+        found = trace(self.window, self.back, boundary)
+        base = self.best[boundary]
         self.window = self.window[boundary:]
-        self.best, self.back = self.best[boundary:], [max(b - boundary, 0) for b in self.back[boundary:]]
-        base = self.best[0] or 0
-        self.best = [None if b is None else b - base for b in self.best]
+        self.best, self.back = [b - base for b in self.best[boundary:]], [max(b - boundary, 0) for b in self.back[boundary:]]
         self.done -= boundary
-        return found[::-1]
+        return found
+
+
+def one_window(word: str, pieces: Pieces) -> list[str]:
+    """The pieces of a word that is no longer than a window: all paths converge at its end."""
+    best, back = [0, *[NEVER] * len(word)], [0] * (len(word) + 1)
+    for start in range(len(word)):
+        extend(word, start, best, back, pieces)
+    return trace(word, back, len(word))
 
 
 def segment(word: str, pieces: Pieces, part: int = 4096) -> Iterator[str]:
@@ -165,8 +185,9 @@ def encode(text: str, pieces: Pieces, kept: dict[str, bytes]) -> np.ndarray:
     except KeyError:
         pass
     long: dict[str, bytes] = {}
-    for word in set(words) - kept.keys():
-        ids = np.fromiter(pieces.ids(segment(word, pieces)), np.int32).tobytes()
+    for word in [word for word in set(words) if word not in kept]:
+        found = one_window(word, pieces) if len(word) <= KEPT_CHARS else segment(word, pieces)
+        ids = array("i", pieces.ids(found)).tobytes()
         (kept if len(word) <= KEPT_CHARS else long)[word] = ids
     get = kept.__getitem__ if not long else lambda word: kept[word] if word in kept else long[word]
     return np.frombuffer(b"".join(map(get, words)), np.int32)

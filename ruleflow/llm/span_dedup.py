@@ -41,7 +41,7 @@ RUN = 64  # windows of a run at most, one bit each
 CHUNK_BYTES, BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20, 4 << 20
 MOST_BUCKETS = 1 << 16
 # An anchor in more documents than this sends its windows one by one.
-HOT_DOCUMENTS = 500
+HOT_DOCUMENTS = 20_000
 
 ALL = np.iinfo(np.uint64).max
 LAST_ID = np.iinfo(np.int64).max
@@ -123,7 +123,7 @@ class AnchorEntries:
         self.key = key[new]
         self.bucket = (self.key % np.uint64(buckets)).astype(np.int64)
         other = np.r_[True, (text[1:] != text[:-1])] | new if len(key) else new
-        self.texts = np.minimum(np.bincount(number[other], minlength=len(self.key)), 255).astype(np.uint8)
+        self.texts = np.minimum(np.bincount(number[other], minlength=len(self.key)), 65_535).astype(np.uint16)
         self.of_run = np.empty(len(key), np.int64)
         self.of_run[order] = number
 
@@ -189,13 +189,23 @@ def parts(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "data"])
 
 
+def pack_anchors(keys: np.ndarray, texts: np.ndarray) -> bytes:
+    """Keys are as good as random and stay as they are; the counts, most of them one, are compressed."""
+    return np.int64(len(keys)).tobytes() + keys.tobytes() + squeeze(texts)
+
+
+def unpack_anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.frombuffer(data, np.uint64, n, 8), Reader(data[8 + 8 * n :]).take(np.uint16, n)
+
+
 def send_anchors(buckets: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_row(batches):
             data, sizes, _ = unpack(row)
             entries = AnchorEntries(Runs(data, sizes), buckets)
             yield parts([
-                (row["chunk"], bucket, entries.key[s].tobytes() + entries.texts[s].tobytes())
+                (row["chunk"], bucket, pack_anchors(entries.key[s], entries.texts[s]))
                 for bucket, s in by_bucket(entries.bucket)
             ])
 
@@ -226,9 +236,9 @@ def each_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[i
 def answer_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each anchor 0 if one text has it, 1 if more have, 2 if very many have."""
     for bucket, chunk, data in each_bucket(batches):
-        counts = [len(d) // 9 for d in data]
-        keys = np.concatenate([np.frombuffer(d, np.uint64, n) for d, n in zip(data, counts, strict=True)])
-        texts = np.concatenate([np.frombuffer(d, np.uint8, n, 8 * n) for d, n in zip(data, counts, strict=True)])
+        keys, texts = zip(*map(unpack_anchors, data), strict=True)
+        counts = list(map(len, keys))
+        keys, texts = np.concatenate(keys), np.concatenate(texts)
         _, number = np.unique(keys, return_inverse=True)
         total = np.bincount(number, weights=texts)[number]
         flags = np.where(total < 2, 0, np.where(total <= HOT_DOCUMENTS, 1, 2)).astype(np.uint8)

@@ -45,7 +45,6 @@ HOT_DOCUMENTS = 20_000
 
 ALL = np.iinfo(np.uint64).max
 LAST_ID = np.iinfo(np.int64).max
-NO_ENTRY = -1
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -256,7 +255,10 @@ def answers(row: dict) -> dict[int, bytes]:
 
 
 def send_runs(buckets: int) -> Callable:
-    """The distinct shared runs by bucket, and under ``NO_ENTRY`` what the chunk has to remember of its runs."""
+    """The distinct shared runs by bucket, and under a bucket below zero what the chunk has to remember of its runs.
+
+    That one passes through the next step unchanged, so both need one exchange and nothing is stored between.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_row(batches):
@@ -267,12 +269,14 @@ def send_runs(buckets: int) -> Callable:
             flags = np.zeros(len(entries.key), np.uint8)
             for bucket, s in by_bucket(entries.bucket):
                 flags[s] = Reader(given[bucket]).take(np.uint8, s.stop - s.start)
-            yield parts([(row["chunk"], b, d) for b, d in shared_runs(data, runs, order, flags[entries.of_run], buckets)])
+            own = -1 - hash(row["chunk"]) % buckets
+            rows = shared_runs(data, runs, order, flags[entries.of_run], buckets)
+            yield parts([(row["chunk"], own if b is None else b, d) for b, d in rows])
 
     return run
 
 
-def shared_runs(data, runs: Runs, order, flags, buckets: int) -> Iterator[tuple[int, bytes]]:
+def shared_runs(data, runs: Runs, order, flags, buckets: int) -> Iterator[tuple[int | None, bytes]]:
     warm, hot = np.flatnonzero(flags == 1), np.flatnonzero(flags == 2)
     size = runs.size[hot]
     single = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(runs.start[hot], size)
@@ -288,7 +292,7 @@ def shared_runs(data, runs: Runs, order, flags, buckets: int) -> Iterator[tuple[
     entry = np.empty(len(place), np.int64)
     entry[place] = np.cumsum(new) - 1
     later = order[text] > order[text][first][entry] if len(place) else np.empty(0, bool)
-    yield NO_ENTRY, squeeze(text.astype(np.int32), start, count.astype(np.uint8), entry.astype(np.int32), later)
+    yield None, squeeze(text.astype(np.int32), start, count.astype(np.uint8), entry.astype(np.int32), later)
     view = memoryview(data)
     for number, s in by_bucket(bucket[first]):
         chosen = first[s]
@@ -385,6 +389,9 @@ def window_marks(order: np.ndarray, starts: np.ndarray, count: np.ndarray, data:
 
 def answer_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, chunk, data in each_bucket(batches):
+        if bucket < 0:
+            yield parts([(c, bucket, d) for c, d in zip(chunk, data, strict=True)])
+            continue
         sizes, fields = [], []
         for packed in data:
             reader = Reader(packed)
@@ -404,7 +411,7 @@ def answer_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(data: np.ndarray, row: dict) -> np.ndarray:
     """The bytes of a chunk that marked windows cover."""
     given = answers(row)
-    state = zstandard.decompress(given.pop(NO_ENTRY))
+    state = zstandard.decompress(given.pop(min(given)))
     n = len(state) // 18
     reader = Reader(b"")
     reader.data = state
@@ -484,9 +491,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             asked = stored.mapInArrow(send_anchors(buckets), PART)
             shared = asked.repartition(buckets, "bucket").sortWithinPartitions(*by).mapInArrow(answer_anchors, PART)
             told = stored.join(gathered(shared, groups), "chunk", "left")
-            sent = scratch.store(told.mapInArrow(send_runs(buckets), PART), "runs")
-            met = sent.filter(F.col("bucket") != NO_ENTRY).repartition(buckets, "bucket").sortWithinPartitions(*by)
-            marked = met.mapInArrow(answer_runs, PART).unionByName(sent.filter(F.col("bucket") == NO_ENTRY))
+            met = told.mapInArrow(send_runs(buckets), PART).repartition(buckets, "bucket").sortWithinPartitions(*by)
+            marked = scratch.store(met.mapInArrow(answer_runs, PART), "marks")
             last = stored.join(gathered(marked, groups), "chunk", "left")
             schema = f"{RESULT}, kept_text string" if with_text else RESULT
             return materialize(last.mapInArrow(remove(with_text), schema), "span-dedup-result")

@@ -82,8 +82,7 @@ def whole(docs, chunk_rows, buckets, monkeypatch):
     asked = by(dedup.send_anchors(buckets)(batch(state)))
     shared = by(dedup.answer_anchors(batch_parts(asked)))
     sent = by(dedup.send_runs(buckets)(batch(tell(state, shared))))
-    marked = by(dedup.answer_runs(batch_parts([r for r in sent if r["bucket"] >= 0])))
-    marked += [r for r in sent if r["bucket"] == dedup.NO_ENTRY]
+    marked = by(dedup.answer_runs(batch_parts(sent)))
     return sorted((tuple(r.values()) for t in dedup.remove(False)(batch(tell(state, marked))) for r in t.to_pylist()), key=str)
 
 

@@ -244,10 +244,15 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, part_rows: int = PART_
     """
     if radius > RADIUS:
         raise ValueError("the routing keys guarantee pairs within 3 bits")
+    return links_in(routed(distinct), radius, part_rows)
+
+
+def links_in(rows: DataFrame, radius: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """``(a, b)`` links as in ``near_links`` between the fingerprints of each route of ``rows(route, fp)``, for any radius."""
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        count = 0
 
         def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = [table.column(name).to_numpy() for name in ("route", "left_part", "right_part")]
@@ -260,20 +265,20 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, part_rows: int = PART_
 
         for batch in batches:
             held.append(batch)
-            rows += batch.num_rows
-            if rows >= TASK_ROWS:
+            count += batch.num_rows
+            if count >= TASK_ROWS:
                 table = pa.Table.from_batches(held)
                 keys = [table.column(name).to_numpy() for name in ("route", "left_part", "right_part")]
                 same = np.logical_and.reduce([key == key[-1] for key in keys])
                 whole = int(np.argmax(same))  # the last group may go on in the next batch
                 if whole:
                     yield from links(table.slice(0, whole))
-                    held, rows = table.slice(whole).combine_chunks().to_batches(), table.num_rows - whole
-        if rows:
+                    held, count = table.slice(whole).combine_chunks().to_batches(), table.num_rows - whole
+        if count:
             yield from links(pa.Table.from_batches(held))
 
     group = ["route", "left_part", "right_part"]
-    met = in_parts(routed(distinct), part_rows).select(*group, "fp")
+    met = in_parts(rows, part_rows).select(*group, "fp")
     ordered = met.repartition(*group).sortWithinPartitions(*group)
     return ordered.mapInArrow(search, "a long, b long")
 

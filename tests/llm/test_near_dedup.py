@@ -1,0 +1,62 @@
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from ruleflow.llm import near_dedup
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def similarity(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def planted(rng, number, least, most):
+    """A text and a copy with words replaced until their similarity is in the range."""
+    while True:
+        size = int(rng.integers(120, 400))
+        words = [f"w{number}x{i}" for i in rng.integers(0, 5000, size)]
+        copy = list(words)
+        for place in rng.choice(size, int(rng.integers(1, size // 12)), replace=False):
+            copy[place] = f"other{rng.integers(1 << 30)}"
+        if least <= similarity(" ".join(words), " ".join(copy)) < most:
+            return " ".join(words), " ".join(copy)
+
+
+def test_stage_finds_planted_copies_and_only_these(spark):
+    rng = np.random.default_rng(1)
+    bands = [(0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.6, 0.75)]
+    rows, number = [], 0
+    for band, (least, most) in enumerate(bands):
+        for _ in range(60):
+            for text in planted(rng, number, least, most):
+                rows.append((len(rows), text, band))
+            number += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, band int")
+    kept = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "").collect()
+    assert [sum(r.band == band for r in kept) for band in range(4)] == [60, 60, 60, 120]
+    assert {r.doc_id for r in kept if r.band < 3} == {i for i, _, band in rows if band < 3 and i % 2 == 0}
+
+
+@pytest.mark.parametrize("part_rows", [1024, 4])
+def test_components_are_those_of_all_similar_pairs(spark, part_rows):
+    rng = np.random.default_rng(2)
+    words = [f"v{i}" for i in rng.integers(0, 900, 100)]
+    texts = []
+    for _ in range(24):  # a chain: each text differs from the one before in a word
+        words[int(rng.integers(100))] = f"new{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    texts += ["", None, " ", "a b", "A  b", "a b c d e f g h i", "a b c d e f g h i j"]
+    root = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if similarity(texts[a] or "", texts[b] or "") >= 0.8:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
+    kept = near_dedup.representatives(docs, part_rows=part_rows)
+    assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert near_dedup.representatives(docs.limit(0)).count() == 0

@@ -21,7 +21,10 @@ from ruleflow.llm.blocks import text_blocks
 
 # Sentences of well-known licences and notices, normalised. "{v}" is a version number.
 SENTENCES = {
-    "apache-notice": ("licensed under the apache license version {v}", "licensed under apache license version {v}"),
+    "apache-notice": (
+        "licensed under the apache license version {v}", "licensed under apache license version {v}",
+        "licensed under the apache license version {v} the license",
+    ),
     "apache-use": ("you may not use this file except in compliance with the license",),
     "apache-copy": ("you may obtain a copy of the license at",),
     "asis-distributed": (
@@ -129,6 +132,9 @@ RULES = (
 SENTENCE_END = re.compile(r"[.!?;:](?=\s|$)|\n")
 WORD = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
 VERSION = re.compile(r"\d+(?:\.\d+)*")
+URL = re.compile(r"https?://\S+|www\.\S+")
+# A sentence of an address or a list number only, which stands between other sentences without parting them.
+EMPTY = re.compile(rf"[\W_]*(?:(?:{URL.pattern})[\W_]*|\d{{1,2}}[\W_]*)")
 
 
 def normalise(sentence: str) -> str:
@@ -176,10 +182,11 @@ def identified(text: str) -> list[tuple[int, int, str, str | None]]:
     """(first sentence, last sentence, identifier, version) of the known sentences, in order.
 
     A known sentence may go over line breaks and stops inside it, as in wrapped text: from a place that
-    begins like a known one, further sentences are added up to the length of the longest known one.
+    begins like a known one, further sentences are added up to the length of the longest known one. An
+    address at the end of or inside a sentence is no part of it.
     """
     spans = sentences(text)
-    words = [normalise(text[a:b]).split() for a, b in spans]
+    words = [(normalise(URL.sub(" ", text[a:b])) or normalise(text[a:b])).split() for a, b in spans]
     found, i = [], 0
     while i < len(words):
         match = None
@@ -199,16 +206,23 @@ def identified(text: str) -> list[tuple[int, int, str, str | None]]:
     return found
 
 
-def recognise(found: list[tuple[int, int, str, str | None]]) -> tuple[list[tuple[str, int, int]], list[str]]:
+def empty_sentences(text: str) -> set[int]:
+    """The numbers of the sentences that hold nothing but an address or a list number."""
+    return {i for i, (a, b) in enumerate(sentences(text)) if EMPTY.fullmatch(text, a, b)}
+
+
+def recognise(
+    found: list[tuple[int, int, str, str | None]], empty: set[int] | frozenset[int] = frozenset()
+) -> tuple[list[tuple[str, int, int]], list[str]]:
     """Licences with their first and last sentence, and identifiers that no rule used.
 
-    The identifiers of a rule follow each other with no sentence between that is not known.
+    The identifiers of a rule follow each other with no sentence between that is neither known nor ``empty``.
     """
     licences, unresolved, i = [], [], 0
     while i < len(found):
         for rule in RULES:
             part = found[i : i + len(rule.sequence)]
-            adjacent = all(b[0] == a[1] + 1 for a, b in zip(part, part[1:], strict=False))
+            adjacent = all(empty.issuperset(range(a[1] + 1, b[0])) for a, b in zip(part, part[1:], strict=False))
             if adjacent and tuple(p[2] for p in part) == rule.sequence:
                 version = next((p[3] for p in part if p[3]), "")
                 licences.append((rule.licence.replace("{v}", version), part[0][0], part[-1][1]))
@@ -236,7 +250,8 @@ def scan(docs: DataFrame) -> DataFrame:
         for block in text_blocks(batches, "text"):
             rows = []
             for text in block.column("text").to_pylist():
-                licences, unresolved = recognise(identified(text)) if text and HINT.search(text) else ([], [])
+                found = identified(text) if text and HINT.search(text) else []
+                licences, unresolved = recognise(found, empty_sentences(text)) if found else ([], [])
                 names = ",".join(dict.fromkeys(name for name, _, _ in licences))
                 rows.append((names, ",".join(f"{n}:{a}:{b}" for n, a, b in licences), len(licences), ",".join(unresolved)))
             names, matches, counts, unresolved = zip(*rows, strict=True)

@@ -85,3 +85,48 @@ def test_rows(spark):
         key=str,
     )
     assert scan.scan(docs.limit(0)).count() == 0
+
+
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize(("text", "name"), [
+    (APACHE, "Apache-2.0"), (APACHE.replace("\n   ", "\n# "), "Apache-2.0"), (APACHE.replace("at\n\n      ", "at"), "Apache-2.0"),
+    (BSD_2, "BSD-2-Clause"), (BSD_3, "BSD-3-Clause"), (BSD_3.replace("\n", "\n * "), "BSD-3-Clause"),
+])
+def test_standard_texts(spark, text, name):
+    docs = spark.createDataFrame([(1, f"Copyright (c) 2020, Somebody\n\n{text}\nmore")], "doc_id long, text string")
+    found = scan.scan(docs).first()
+    assert (found.licences, found.n_matches, found.unresolved) == (name, 1, "")
+
+
+def test_only_addresses_and_list_numbers_keep_sentences_together():
+    text = BSD_2.replace("2. Redist", "2. Something else. Redist")
+    assert [n for n, _, _ in scan.recognise(scan.identified(text), scan.empty_sentences(text))[0]] == []
+    assert licences("GNU\nLicensed under the GNU General Public License version\n3.") == ["GPL-3"]

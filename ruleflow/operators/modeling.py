@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -24,6 +25,8 @@ from ruleflow.storage import scratch_path
 # Inverse regularisation strength and iteration limit.
 STRENGTH = 2.0
 ITERATIONS = 2_000
+# Rows that a task of a fit goes over, if there are so many.
+TASK_ROWS = 10_000
 
 # Value of the levelling row in every column.
 REACH = 1e10
@@ -107,17 +110,23 @@ def balanced(train: DataFrame, label: str = "label") -> tuple[Column, int]:
     return weight, sum(row["n"] for row in classes.values())
 
 
+def fit_tasks(rows: int) -> int:
+    """The most tasks in which a fit goes over so many rows."""
+    return max(1, math.ceil(rows / TASK_ROWS))
+
+
 def fit_balanced(train: DataFrame, label: str = "label", tasks: int | None = None) -> LogisticRegressionModel:
     """L2-regularised fit with balanced class weights.
 
-    Balanced weights sum to the row count, so a per-row strength C becomes 1 / (C * rows). ``tasks`` merges
-    the partitions of a small table, where an iteration would be all scheduling; by default they stay.
+    Balanced weights sum to the row count, so a per-row strength C becomes 1 / (C * rows). The partitions of
+    a small table, where an iteration would be all scheduling, are merged to ``tasks`` or, by default, to one
+    for each ``TASK_ROWS`` rows.
     """
     weight, rows = balanced(train, label)
     side = F.when(F.col("sign") > 0, F.col(label)).otherwise(1 - F.col(label))
     weighted = train.select(side.cast("double").alias("side"), weight.alias("weight"), "features")
     size = train.select(F.col("features")).first()["features"].size
-    merged = weighted.coalesce(tasks) if tasks else weighted
+    merged = weighted.coalesce(tasks or fit_tasks(rows))
     levelled = merged.unionByName(levelling_row(weighted, size, rows))
     return LogisticRegression(
         featuresCol="features", labelCol="side", weightCol="weight", maxIter=ITERATIONS, tol=1e-8,

@@ -1,0 +1,23 @@
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
+
+from ruleflow.operators import modeling
+from ruleflow.queries import QUERIES
+
+
+def test_a_registered_fit_goes_over_many_rows_in_many_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows.repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    counts, fit = [], LogisticRegression.fit
+
+    def counted(self, table):
+        given = table.filter(F.col("weight") > 1e-3)  # without the levelling row
+        counts.append(given.select(F.spark_partition_id().alias("p")).distinct().count())
+        return fit(self, table)
+
+    monkeypatch.setattr(LogisticRegression, "fit", counted)
+    found = []
+    for size in (1, 10_000_000):
+        monkeypatch.setattr(modeling, "TASK_ROWS", size)
+        found.append(QUERIES["g3_two_coefficients"](spark, str(tmp_path)).collect())
+    assert counts == [4, 1] and found[0] == found[1]

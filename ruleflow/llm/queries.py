@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleflow.llm import classifier, decontamination, html_text, license_scan, piece_coding, quality_rules, secret_scan, simhash, span_dedup, token_counts
+from ruleflow.llm import classifier, decontamination, html_text, license_scan, piece_coding, quality_rules, secret_scan, simhash, span_dedup, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def either_case(pattern: str) -> str:
     """Letters of a pattern outside classes and escapes as classes of both cases."""
     out, inside, i = [], False, 0
@@ -102,6 +106,18 @@ ARTICLES = f"""SELECT page_id, url, text, length(text) AS n_chars FROM (
     regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'),
     lambda x: trim(regexp_replace({PART}, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM pages)"""
 
+# Every window of 13 words with the smallest id that has it, and the words that a later text's windows cover.
+PASSAGES = """WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS passage
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM texts)),
+firsts AS (SELECT passage, min(doc_id) AS first_id FROM windows GROUP BY passage),
+marked AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS place FROM windows JOIN firsts USING (passage) WHERE first_id < doc_id),
+gone AS (SELECT doc_id, list(place) AS places FROM marked GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE
+    list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(places, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM texts t LEFT JOIN gone g ON t.doc_id = g.doc_id"""
+
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
@@ -114,8 +130,10 @@ QUERIES: dict[str, Query] = {
     "op8_html_text": op8_html_text,
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op8_html_text": ARTICLES,
     "op9_secret_scan": SECRETS,
+    "op11_substring_dedup": PASSAGES,
 }

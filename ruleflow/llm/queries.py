@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleflow.llm import classifier, decontamination, html_text, license_scan, piece_coding, quality_rules, secret_scan, simhash, span_dedup, substring_dedup, token_counts
+from ruleflow.llm import classifier, decontamination, html_text, lexical_search, license_scan, piece_coding, quality_rules, secret_scan, simhash, span_dedup, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def either_case(pattern: str) -> str:
     """Letters of a pattern outside classes and escapes as classes of both cases."""
     out, inside, i = [], False, 0
@@ -118,6 +122,20 @@ SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places
     list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(places, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
 FROM texts t LEFT JOIN gone g ON t.doc_id = g.doc_id"""
 
+TERMS = "regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+RANKS = f"""WITH d AS (SELECT doc_id, unnest({TERMS.format(text="coalesce(text, '')")}) AS term FROM documents),
+q AS (SELECT item_id, unnest({TERMS.format(text="coalesce(text, '')")}) AS term FROM benchmark),
+lengths AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+corpus AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM lengths),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0 * max(documents) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM tfs, corpus GROUP BY term),
+impacts AS (SELECT t.doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // occurrences))) AS part
+  FROM tfs t JOIN lengths USING (doc_id) JOIN weights USING (term), corpus),
+scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM q JOIN impacts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= {lexical_search.TOP}"""
+
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
@@ -131,9 +149,11 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_lexical_search": op12_lexical_search,
 }
 ORACLES: dict[str, str] = {
     "op8_html_text": ARTICLES,
     "op9_secret_scan": SECRETS,
     "op11_substring_dedup": PASSAGES,
+    "op12_lexical_search": RANKS,
 }

@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleflow.llm import classifier, decontamination, html_text, lexical_search, license_scan, piece_coding, quality_rules, secret_scan, simhash, span_dedup, substring_dedup, token_counts
+from ruleflow.llm import classifier, decontamination, html_text, lexical_search, license_scan, piece_coding, quality_rules, secret_scan, simhash, span_dedup, substring_dedup, token_alignment, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
 def either_case(pattern: str) -> str:
     """Letters of a pattern outside classes and escapes as classes of both cases."""
     out, inside, i = [], False, 0
@@ -150,6 +155,7 @@ QUERIES: dict[str, Query] = {
     "op10_license_scan": op10_license_scan,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_lexical_search": op12_lexical_search,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op8_html_text": ARTICLES,

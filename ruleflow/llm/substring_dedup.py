@@ -44,10 +44,12 @@ HOT_TEXTS = 1024
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
 # Rows and bytes that a shard's automaton is compiled from.
 SHARD_ROWS, SHARD_BYTES = 32_768, 4 << 20
+STEP_ROWS = 4096
 # A longer word is sent as its digest; 0xFF is in no UTF-8 text.
 LONG_WORD = 64
 KEPT_WORDS = 400_000
-SEPARATOR = "\0"
+# An odd number, as the base of hashes of word sequences.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 Step = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -77,11 +79,14 @@ class Words:
             end += size
         self.counts = np.array(counts, np.int64)
         self.hashes = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, len(self.words))
+        self.long = max(map(len, self.words), default=0) > LONG_WORD
 
     def content(self, start: int, count: int) -> bytes:
         """The words of ``count`` windows from ``start`` on."""
         words = self.words[start : start + count + WINDOW - 1]
-        return b" ".join([w if len(w) <= LONG_WORD else b"\xff" + hashlib.sha256(w).hexdigest().encode() for w in words])
+        if self.long:
+            words = [w if len(w) <= LONG_WORD else b"\xff" + hashlib.sha256(w).hexdigest().encode() for w in words]
+        return b" ".join(words)
 
 
 def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -93,6 +98,15 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return found
 
 
+def stretch_hashes(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The hash of ``sizes`` words from ``starts`` on, from running sums of a polynomial modulo 2 ** 64."""
+    powers = np.full(len(hashes) + 1, STEP, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    sums = np.r_[np.uint64(0), np.cumsum(mix(hashes) * powers[:-1])]
+    return mix((sums[starts + sizes] - sums[starts]) * powers[len(hashes) - starts])
+
+
 def smallest(values: np.ndarray, span: int) -> np.ndarray:
     """The smallest of ``span`` neighbours from each place on, by doubling."""
     width = 1
@@ -207,18 +221,15 @@ class SharedRuns:
         self.count = np.r_[runs.size[warm], np.ones(len(single), np.int64)]
         key = np.r_[runs.key[warm], windows[single]].view(np.int64)
         doc = words.order[self.text]
-        # Each distinct run is an entry, with the smallest id that has it.
-        numbers: dict[tuple[int, bytes], int] = {}
+        # Each distinct run, told by its anchor and a hash of its words, is an entry with the smallest id that has it.
+        content = stretch_hashes(words.hashes, self.start, self.count + WINDOW - 1)
+        order = np.lexsort((doc, content, key))
+        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])][: len(order)]
+        first = order[new]
         self.entry = np.empty(len(key), np.int64)
-        self.sent: list[tuple[int, int, bytes]] = []
-        for i in np.argsort(doc, kind="stable").tolist():
-            content = (int(key[i]), words.content(int(self.start[i]), int(self.count[i])))
-            number = numbers.setdefault(content, len(numbers))
-            if number == len(self.sent):
-                self.sent.append((content[0], int(doc[i]), content[1]))
-            self.entry[i] = number
-        first = np.array([d for _, d, _ in self.sent], np.int64)
-        self.later = doc > first[self.entry] if len(key) else np.empty(0, bool)
+        self.entry[order] = np.cumsum(new) - 1
+        self.key, self.doc, self.first = key[first], doc[first], first
+        self.later = doc > self.doc[self.entry]
 
 
 SENT = "key long, doc long, chunk long, entry int, content binary"
@@ -229,11 +240,12 @@ def send_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in each_row(batches):
         if not row["shared"]:
             continue
-        sent = SharedRuns(Words(row, hashes), row["shared"]).sent
-        key, doc, content = zip(*sent, strict=True) if sent else ((), (), ())
+        words = Words(row, hashes)
+        runs = SharedRuns(words, row["shared"])
+        content = [words.content(a, n) for a, n in zip(runs.start[runs.first].tolist(), runs.count[runs.first].tolist(), strict=True)]
         columns = [
-            pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(np.full(len(sent), row["chunk"], np.int64)),
-            pa.array(np.arange(len(sent), dtype=np.int32)), pa.array(content, pa.binary()),
+            pa.array(runs.key), pa.array(runs.doc), pa.array(np.full(len(content), row["chunk"], np.int64)),
+            pa.array(np.arange(len(content), dtype=np.int32)), pa.array(content, pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "chunk", "entry", "content"])
 
@@ -311,53 +323,70 @@ def windows_of(content: bytes) -> list[bytes]:
     return [b" ".join(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
 
 
+def marked(keys: np.ndarray, docs: np.ndarray, contents: list[bytes], before: dict[bytes, int]) -> np.ndarray:
+    """The bits of all rows of a shard. Equal runs are one text of it, with their first, smallest id; later ids have all bits."""
+    numbers: dict[bytes, int] = {}
+    number = np.fromiter((numbers.setdefault(c, len(numbers)) for c in contents), np.int64, len(contents))
+    first = np.full(len(numbers), len(contents))
+    np.minimum.at(first, number, np.arange(len(contents)))
+    # Windows of a key with one run are in no other run.
+    _, key = np.unique(keys[first], return_inverse=True)
+    several = np.bincount(key)[key] > 1
+    if before:
+        several |= keys[first] == keys[0]
+    bits = np.zeros(len(first), np.int64)
+    if several.any():
+        rows = first[several]
+        bits[several] = located([contents[i] for i in rows.tolist()], docs[rows], before)
+    return np.where(docs > docs[first[number]], -1, bits[number])
+
+
 def locate(shard_rows: int, shard_bytes: int) -> Step:
     """``(chunk, entry, bits)`` of the runs with marked windows, from rows sorted by key and id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, carry_key = 0, None
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
         carry: dict[bytes, int] = {}
+        carry_key = None
 
-        def answer(rows: list[tuple]) -> pa.RecordBatch:
-            docs = np.array([r[1] for r in rows], np.int64)
-            bits = located([r[4] for r in rows], docs, carry if carry_key == rows[0][0] else {})
-            marked = np.flatnonzero(bits)
-            columns = [
-                pa.array([rows[i][2] for i in marked.tolist()], pa.int64()),
-                pa.array([rows[i][3] for i in marked.tolist()], pa.int32()), pa.array(bits[marked].astype(np.int32)),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "entry", "bits"])
-
-        def flush(rows: list[tuple], goes_on: bool) -> Iterator[pa.RecordBatch]:
-            """Answers whole keys; of a key that goes on, its windows are kept."""
+        def answer(table: pa.Table, goes_on: bool) -> pa.RecordBatch:
+            """Of a key that goes on after these rows, its windows are kept."""
             nonlocal carry, carry_key
-            if rows:
-                yield answer(rows)
-                key = rows[-1][0]
-                old = carry if carry_key == key else {}
-                carry, carry_key = {}, None
-                if goes_on:
-                    carry, carry_key = old, key
-                    for row in rows:
-                        for window in windows_of(row[4]):
-                            carry.setdefault(window, row[1])
+            keys, docs = (table.column(n).to_numpy() for n in ("key", "doc"))
+            contents = table.column("content").to_pylist()
+            old = carry if carry_key == keys[0] else {}
+            bits = marked(keys, docs, contents, old)
+            carry, carry_key = {}, None
+            if goes_on:
+                carry, carry_key = old, keys[-1]
+                for content, doc in dict(zip(reversed(contents), reversed(docs.tolist()), strict=True)).items():
+                    for window in windows_of(content):
+                        carry[window] = min(doc, carry.get(window, doc))
+            found = np.flatnonzero(bits)
+            columns = [pa.array(table.column("chunk").to_numpy()[found]), pa.array(table.column("entry").to_numpy()[found]), pa.array(bits[found].astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "entry", "bits"])
 
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                full = len(held) >= shard_rows or size >= shard_bytes
-                if full and held[-1][0] != row[0]:
-                    yield from flush(held, False)
-                    held, size = [], 0
-                elif full and (len(held) >= 2 * shard_rows or size >= 2 * shard_bytes):
-                    # The last key has come to fill a shard of its own: first what stands before it.
-                    cut = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] != row[0]), -1) + 1
-                    yield from flush(held[:cut], False)
-                    yield from flush(held[cut:], True)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        yield from flush(held, False)
+            for low in range(0, batch.num_rows, STEP_ROWS):
+                piece = batch.slice(low, STEP_ROWS)
+                held.append(piece)
+                rows, size = rows + piece.num_rows, size + piece.column("content").nbytes
+                if rows < shard_rows and size < shard_bytes:
+                    continue
+                table = pa.Table.from_batches(held)
+                keys = table.column("key").to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))
+                if cut:
+                    yield answer(table.slice(0, cut), False)
+                rest = table.slice(cut)
+                if rest.num_rows >= shard_rows or size >= shard_bytes and not cut:
+                    yield answer(rest, True)
+                    rest = rest.slice(0, 0)
+                held = rest.combine_chunks().to_batches()
+                rows, size = rest.num_rows, sum(b.column("content").nbytes for b in held)
+        if rows:
+            yield answer(pa.Table.from_batches(held), False)
 
     return run
 
@@ -376,7 +405,7 @@ def remove(with_text: bool) -> Step:
             gone = np.zeros(len(words.words) + 1, np.int32)
             if row["shared"]:
                 runs = SharedRuns(words, row["shared"])
-                bits = np.zeros(len(runs.sent), np.int64)
+                bits = np.zeros(len(runs.first), np.int64)
                 for mark in row["marks"] or []:
                     bits[mark["entry"]] = mark["bits"]
                 mask = np.where(runs.later, -1, bits[runs.entry])

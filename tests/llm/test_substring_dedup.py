@@ -88,7 +88,7 @@ def test_very_common_line_is_one_row_per_chunk_and_window():
     words = dedup.Words(row, dedup.WordHashes())
     runs = dedup.Runs(words.hashes, words.counts)
     anchors = [{"anchor": int(a), "hot": True} for a in np.unique(runs.key).view(np.int64)]
-    sent = dedup.SharedRuns(words, anchors).sent
-    inside = [s for s in sent if all(w.startswith(b"c") for w in s[2].split())]
+    shared = dedup.SharedRuns(words, anchors)
+    inside = [i for i, f in enumerate(shared.first) if words.content(shared.start[f], shared.count[f]) in line]
     assert len(inside) == 18  # windows of the line, once each
-    assert all(s[1] == 0 for s in inside)
+    assert set(shared.doc[inside]) == {0}

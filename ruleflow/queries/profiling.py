@@ -141,3 +141,32 @@ SELECT row_id, rule, CAST(CAST('0x' || substr({order_key_sql(42, ('rule',))}, 1,
 FROM l""")
 def rule_holdout(spark, sf_dir):
     return folds.group_folds(labelled(spark, sf_dir), 5, 42, "rule").select("row_id", "rule", "fold")
+
+
+DEALT = LABELLED.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+g AS (SELECT rule, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, rule) AS place FROM l GROUP BY rule),
+dealt(place, loads, fold) AS (
+  SELECT CAST(0 AS BIGINT), [0, 0, 0]::BIGINT[], CAST(NULL AS INTEGER)
+  UNION ALL
+  SELECT g.place, list_transform(range(1, 4), lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END),
+    CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER)
+  FROM dealt JOIN g ON g.place = dealt.place + 1)"""
+
+
+@query("j1_balanced_holdout", DEALT + """
+SELECT l.row_id, l.rule, dealt.fold FROM l JOIN g USING (rule) JOIN dealt ON dealt.place = g.place""")
+def balanced_holdout(spark, sf_dir):
+    """Whole rules held out in folds of like size."""
+    return folds.balanced_group_folds(labelled(spark, sf_dir), 3, 42, "rule").select("row_id", "rule", "fold")
+
+
+PLAIN = "regexp_replace(lower(body), '[^\\p{L}\\p{N}]+', '', 'g')"
+
+
+@query("j1_fold_leaks", COMMENTS + f""",
+k AS (SELECT md5({PLAIN}) AS body_key, row_id % 5 AS fold FROM f_comments WHERE length({PLAIN}) > 0)
+SELECT body_key, count(DISTINCT fold) AS folds, count(*) AS n FROM k GROUP BY body_key HAVING count(DISTINCT fold) > 1""")
+def fold_leaks(spark, sf_dir):
+    """Near-equal comments that a split by row id would put into several folds."""
+    rows = fixtures.comments(spark, sf_dir).withColumn("fold", F.col("row_id") % 5)
+    return folds.shared_across_folds(rows, "body")

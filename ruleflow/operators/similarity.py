@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleflow.operators import features
@@ -37,3 +39,36 @@ def similarity_features(df: DataFrame, parts: Sequence[str], row_id: str = "row_
     )
     found = df.select(F.col(row_id).alias("row_id")).join(products, "row_id", "left")
     return found.select("row_id", *[F.coalesce(f"similarity_{p}", F.lit(0.0)).alias(f"similarity_{p}") for p in others])
+
+
+def cosine(left: Column, right: Column) -> Column:
+    """Cosine of two arrays of one length; 0 where one of them has no length."""
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    lengths = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
+    return F.when(lengths > 0, dot(left, right) / lengths).otherwise(0.0)
+
+
+def centroid_similarity(df: DataFrame, vector: str, group: str, label: str, row_id: str = "row_id") -> DataFrame:
+    """``row_id, similarity_positive, similarity_negative``: cosine of a row's vector with those of its group's positives and negatives.
+
+    A centroid is told without the row itself, and as only its direction counts, a sum does: one aggregation with partial
+    sums adds up the vectors of each group and label, and every row takes itself out of its own. A row has 0 where
+    nothing is left, and NULL where its vector is NULL. Vectors must be of one length.
+    """
+    rows = df.select(
+        F.col(row_id).alias("row_id"), F.col(group).alias("_group"), F.col(label).alias("_label"), F.col(vector).cast("array<double>").alias("_vector")
+    )
+    known = rows.filter(F.col("_vector").isNotNull() & F.col("_label").isin(0, 1))
+    sums = known.groupBy("_group", "_label").agg(vector_to_array(Summarizer.sum(array_to_vector("_vector"))).alias("_sum"))
+    named = sums.groupBy("_group").agg(*[F.first(F.when(F.col("_label") == y, F.col("_sum")), ignorenulls=True).alias(f"_sum{y}") for y in (1, 0)])
+    joined = rows.join(named.withColumnRenamed("_group", "_of"), F.col("_group").eqNullSafe(F.col("_of")), "left")
+
+    def similarity(y: int) -> Column:
+        without = F.zip_with(f"_sum{y}", "_vector", lambda s, x: s - x)
+        left = F.when(F.col("_label") == y, without).otherwise(F.col(f"_sum{y}"))
+        return F.when(F.col("_vector").isNotNull(), F.coalesce(cosine(F.col("_vector"), left), F.lit(0.0)))
+
+    return joined.select("row_id", similarity(1).alias("similarity_positive"), similarity(0).alias("similarity_negative"))

@@ -10,9 +10,10 @@ from ruleflow.functions import sequences as S
 from ruleflow.functions import templates as T
 from ruleflow.functions.text import WORD, to_label
 from ruleflow.operators import batching
-from ruleflow.operators.scoring import length_scorer, score_batches
-from ruleflow.queries.registry import COMMENTS, query
+from ruleflow.operators.scoring import length_scorer, score_batches, score_in_waves
+from ruleflow.queries.registry import COMMENTS, ORACLES, query
 from ruleflow.queries.rendering import COMPLETION_PROMPT, VERDICT, shown
+from ruleflow.storage import scratch_path
 
 # Token limits for training and scoring, batch sizes.
 TRAIN_LIMIT, SCORE_LIMIT = 256, 512
@@ -181,3 +182,13 @@ def batch_scoring(spark, sf_dir):
     )
     scored = score_batches(texts, length_scorer(), batch_size=ENCODER_BATCH)
     return scored.select("row_id", F.round(scores.sigmoid(F.col("logit")), 6).alias("p"))
+
+
+@query("h4_resumed_scoring", ORACLES["h4_batch_scoring"])
+def resumed_scoring(spark, sf_dir):
+    """The same scores from a run that ends after its first wave and one that goes on from its ledger."""
+    texts = fixtures.comments(spark, sf_dir).select("row_id", T.encoder_text(F.col("rule"), F.col("body")).alias("text"))
+    ledger = scratch_path(spark, "scoring-ledger")
+    for most_waves in (1, None):
+        scored = score_in_waves(texts, length_scorer(), ledger, parts=16, wave=6, batch_size=ENCODER_BATCH, most_waves=most_waves)
+    return scored.select("row_id", F.round(scores.sigmoid(F.col("logit")), 6).alias("p"))

@@ -10,8 +10,8 @@ from ruleflow.operators import blending, profiling
 from ruleflow.plans import ensemble, training_frame
 from ruleflow.queries.registry import CLEAN_FRAME, COMMENTS, PREDICTIONS, query
 from ruleflow.queries.scoring import RANKED, blend_sql, rounded, sample
-from ruleflow.sources import comments, predictions, sinks
-from ruleflow.storage import scratch_path
+from ruleflow.sources import comments, predictions, publishing, sinks
+from ruleflow.storage import materialize, scratch_path
 
 NA_LIST = ", ".join(f"'{token}'" for token in NA_TOKENS)
 
@@ -127,3 +127,38 @@ def ensemble_submission(spark, sf_dir):
     """Prediction files to ranked, blended, checked and ordered submission."""
     blended = ensemble.ensemble(fixtures.predictions(spark, sf_dir))
     return rounded(ensemble.submission(blended, sample(spark, sf_dir)))
+
+
+def digest_sql(columns: dict[str, str]) -> str:
+    """Rows and digest of a relation, as ``content_digest`` has them; ``columns`` gives each one's SQL as text."""
+    row = "md5(concat_ws(chr(31), " + ", ".join(f"coalesce('=' || {columns[c]}, '-')" for c in sorted(columns)) + "))"
+    return f"bit_xor(CAST('0x' || substr({row}, 1, 15) AS BIGINT))"
+
+
+BLEND_PARTS, BLEND = blend_sql(blending.DEFAULT_WEIGHTS, "total").rsplit("\nSELECT", 1)
+
+
+@query("a7_published_run", CLEAN_FRAME + f""", f_predictions AS (
+  SELECT m.slot, t.row_id, t.rule, CAST((t.row_id * (17 + 2 * m.slot) + 31 * m.slot) % 101 AS DOUBLE) / 100 AS rule_violation
+  FROM f_rows t, (SELECT unnest({list(fixtures.PREDICTION_SLOTS)}) AS slot) m){BLEND_PARTS}, s AS (SELECT{BLEND})
+SELECT 'encoder' AS model_id, 'r1' AS model_revision, 42 AS seed, 32 AS smoke_rows, false AS model_saved,
+  (SELECT count(*) FROM f_frame) AS constructed_training_rows, (SELECT count(*) FROM f_train) AS train_rows, (SELECT count(*) FROM f_rows) AS test_rows,
+  CAST(2 AS BIGINT) AS test_example_repeats, 'submission.csv' AS name, count(*) AS n,
+  {digest_sql({"row_id": "CAST(row_id AS VARCHAR)", "rule_violation": "CAST(CAST(round(rule_violation, 9) AS DECIMAL(38, 9)) AS VARCHAR)"})} AS digest,
+  true AS has_time, true AS has_submission FROM s""")
+def published_run(spark, sf_dir):
+    """A run's submission and manifest, read from where they were published together."""
+    path = scratch_path(spark, "published-run")
+    train, test = fixtures.train(spark, sf_dir), fixtures.test(spark, sf_dir)
+    facts = profiling.manifest(training_frame.cleaned_frame(train, test), train, fixtures.unlabelled(spark, sf_dir), 2)
+    scores = materialize(rounded(blending.blend(fixtures.predictions(spark, sf_dir))), "blended")
+    publishing.publish_run(
+        path, {"submission.csv": (scores, sinks.write_submission)}, facts, model_id="encoder", model_revision="r1", seed=42, smoke_rows=32
+    )
+    schema = (
+        "model_id string, model_revision string, seed int, smoke_rows int, model_saved boolean, constructed_training_rows long, train_rows long, "
+        "test_rows long, test_example_repeats long, files array<struct<name: string, n: long, digest: long>>, completed_at_utc string, submission string"
+    )
+    run = spark.read.schema(schema).json(f"{path}/{publishing.MANIFEST}")
+    told = run.select("*", F.inline("files"), F.col("completed_at_utc").isNotNull().alias("has_time"), F.col("submission").endswith("/submission.csv").alias("has_submission"))
+    return told.drop("files", "completed_at_utc", "submission")

@@ -85,6 +85,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def rename_path(spark: SparkSession, path: str, target: str) -> None:
+    """Move a folder on its own file system; fails if the target exists or the move does."""
+    source, files = _located(spark, path)
+    end, _ = _located(spark, target)
+    if files.exists(end) or not files.rename(source, end):
+        raise FileExistsError(target)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleflow.functions.text import strip_accents_py
-from ruleflow.operators import features, modeling, similarity
+from ruleflow.operators import calibration, features, linear, similarity, terms
 from ruleflow.plans import baseline
 
 TEXTS = [
@@ -128,7 +128,7 @@ def prepared(labelled):
 def test_fold_statistics_by_subtraction(prepared):
     for held in (0, 3):
         stats, rows = baseline.training_statistics(prepared, held)
-        direct = features.term_statistics(prepared.counts.filter(F.col("fold") != held))
+        direct = features.term_statistics(features.term_counts(prepared.texts.filter(F.col("fold") != held), "text"))
         got = {(r.block, r.term): (r.df, r.tf) for r in stats.filter("df > 0").collect()}
         assert got == {(r.block, r.term): (r.df, r.tf) for r in direct.collect()}
         assert rows == prepared.rows.filter(F.col("fold") != held).count()
@@ -152,42 +152,101 @@ def newton(x, y, weight, penalty, steps=60):
     return w
 
 
-def test_classifier_minimises_the_balanced_objective(prepared):
-    kept, rows = baseline.vocabulary(prepared, None)
-    table = baseline.vectors(prepared.rows, prepared.counts, kept, rows)
-    model = modeling.fit_balanced(table)
-    collected = table.select("label", "sign", "features").collect()
-    x = np.array([r.sign * r.features.toArray() for r in collected])
-    y = np.array([r.label for r in collected])
-    balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    exact = newton(x, y, modeling.STRENGTH * balance, np.ones(x.shape[1]))
-    assert np.allclose(x @ model.coefficients.toArray(), x @ exact, atol=1e-3)
-    assert model.summary.totalIterations < 200
+def dense(rows, size):
+    x = np.zeros((len(rows), size))
+    for i, r in enumerate(rows):
+        x[i, r["indices"]] = r["values"]
+    return x
 
 
-def test_vectors_have_unit_blocks_and_the_constant(prepared):
-    kept, rows = baseline.vocabulary(prepared, None)
-    table = baseline.vectors(prepared.rows, prepared.counts, kept, rows)
-    words = kept.filter("block = 'word'").count()
-    for r in table.collect():
-        dense = r.sign * r.features.toArray()
-        assert dense[-1] == 1.0
-        assert np.linalg.norm(dense[:words]) == pytest.approx(1.0)
-        assert np.linalg.norm(dense[words:-1]) == pytest.approx(1.0)
+@pytest.fixture(scope="module")
+def whole(prepared):
+    kept = baseline.space(prepared, [None])
+    return kept, baseline.stored_vectors(prepared, kept)
+
+
+@pytest.mark.parametrize("task_cells", [linear.TASK_CELLS, 2_000])
+def test_classifier_minimises_the_balanced_objective(prepared, whole, task_cells):
+    """In one task, and in several that add up their changes."""
+    kept, stored = whole
+    costs = baseline.balanced_costs(prepared.rows, [F.lit(True)])
+    fitted = linear.fit(stored, [costs], [kept.design(0, 1)], task_cells=task_cells)[0]
+    rows = linear.weighed(stored, fitted.design).collect()
+    x, y = dense(rows, len(fitted.coefficients)), np.array([r["label"] for r in rows])
+    balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    exact = newton(x, y, linear.STRENGTH * balance, np.ones(x.shape[1]))
+    assert np.linalg.norm(fitted.coefficients[:, 0] - exact) <= fitted.bound[0] + 1e-9
+    assert fitted.bound[0] <= (linear.TOLERANCE if task_cells == linear.TASK_CELLS else linear.SHARED_TOLERANCE)
+
+
+def test_models_fitted_together_equal_separate_fits(prepared):
+    held_out = [None, 1, 3]
+    kept = baseline.space(prepared, held_out)
+    stored = baseline.stored_vectors(prepared, kept)
+    together, _ = baseline.fit_calibrated(prepared, held_out, kept, stored)
+    for number, held in enumerate(held_out):
+        alone = baseline.space(prepared, [held])
+        own, margins = baseline.fit_calibrated(prepared, [held], alone, baseline.stored_vectors(prepared, alone))
+        left = linear.margins(stored, together[number].fitted).select("row_id", "margins").collect()
+        right = {r["row_id"]: r["margins"] for r in margins.collect()}
+        assert all(np.allclose(r["margins"], right[r["row_id"]], atol=1e-4) for r in left)
+        for a, b in zip(together[number].sigmoids, own[0].sigmoids, strict=True):
+            assert (a.slope, a.intercept) == pytest.approx((b.slope, b.intercept), abs=1e-4)
+
+
+def test_bound_holds_for_a_fit_that_stops_early(prepared, whole):
+    kept, stored = whole
+    costs = baseline.balanced_costs(prepared.rows, [F.lit(True)])
+    rough = linear.fit(stored, [costs], [kept.design(0, 1)], tolerance=0.5)[0]
+    fine = linear.fit(stored, [costs], [kept.design(0, 1)])[0]
+    distance = np.linalg.norm(rough.coefficients - fine.coefficients)
+    assert 1e-6 < distance <= rough.bound[0] + fine.bound[0] and rough.bound[0] <= 0.5
+
+
+def test_vectors_have_unit_blocks_and_the_constant(whole):
+    kept, stored = whole
+    rows = linear.weighed(stored, kept.design(0, 1)).collect()
+    words = len(kept.terms["word"])
+    for x in dense(rows, len(kept.factors[0]) + 1):
+        assert x[-1] == 1.0
+        assert np.linalg.norm(x[:words]) == pytest.approx(1.0)
+        assert np.linalg.norm(x[words:-1]) == pytest.approx(1.0)
+
+
+def test_vectors_equal_the_long_table(spark, labelled, prepared, whole):
+    """Weights from Arrow batches and from n-grams as rows."""
+    kept, stored = whole
+    counts = features.term_counts(labelled[1], "text")
+    vocabulary = baseline.vocabularies(prepared, [None]).drop("held_out")
+    long = {(r.row_id, r.block, r.term): r.weight for r in features.tfidf_weights(counts, vocabulary, baseline.training_rows(prepared, None)).collect()}
+    names = [(b, t) for b in ("word", "char") for t in kept.terms[b]]
+    found = {(r.row_id, *names[i]): v for r in linear.weighed(stored, kept.design(0, 1)).collect() for i, v in zip(r["indices"][:-1], r["values"], strict=False)}
+    assert found.keys() == long.keys() and all(found[k] == pytest.approx(long[k]) for k in long)
+
+
+@pytest.mark.parametrize("most_terms", [terms.MOST_TERMS, 50])
+def test_statistics_equal_the_long_table(labelled, most_terms):
+    df = labelled[1].withColumn("fold", F.col("label"))
+    found = terms.statistics(terms.analysed(df, "text", keep=["fold"]), 2, most_terms=most_terms)
+    for held in (0, 1):
+        direct = features.term_statistics(features.term_counts(df.filter(F.col("fold") == held), "text"))
+        got = {(r.block, r.term): (r[f"df_{held}"], r[f"tf_{held}"]) for r in found.filter(f"df_{held} > 0").collect()}
+        assert got == {(r.block, r.term): (r.df, r.tf) for r in direct.collect()}
 
 
-def test_rows_without_known_terms_keep_the_constant(spark, prepared):
-    kept, rows = baseline.vocabulary(prepared, None)
-    df = spark.createDataFrame([(1, "??? zzz"), (2, "w1 w2")], "row_id long, text string")
-    table = baseline.vectors(df.select("row_id"), features.term_counts(df, "text"), kept, rows)
-    vectors = {r.row_id: r.features for r in table.collect()}
-    assert vectors[1].numNonzeros() == 1 and vectors[2].numNonzeros() > 1
+def test_rows_without_known_terms_keep_the_constant(spark, whole):
+    kept, _ = whole
+    df = spark.createDataFrame([(1, "??? zzz"), (2, "w1 w2"), (3, None)], "row_id long, text string")
+    found = {r.row_id: r for r in linear.weighed(baseline.vectors(df, kept), kept.design(0, 1)).collect()}
+    assert found[1]["values"] == found[3]["values"] == [1.0] and len(found[2]["values"]) > 1
 
 
 def test_sigmoid_fit_equals_brute_force(spark):
     random.seed(2)
     rows = [(random.gauss(1.0 if y else -0.5, 1.0), y) for y in [1] * 20 + [0] * 40]
-    slope, intercept = modeling.fit_sigmoid(spark.createDataFrame(rows, "margin double, label int"))
+    fitted = calibration.fit_sigmoids(spark.createDataFrame([(0, *r) for r in rows], "model int, margin double, label int"), 2)
+    slope, intercept = fitted[0].slope, fitted[0].intercept
+    assert fitted[1] == calibration.Sigmoid(0.0, 0.0)
     margins = np.array([m for m, _ in rows])
     y = np.array([y for _, y in rows])
     target = np.where(y == 1, (20 + 1) / (20 + 2), 1 / (40 + 2))
@@ -204,6 +263,7 @@ def test_out_of_fold_and_final_scores(spark, labelled, prepared):
     pos = [r.oof_pred for r in scored if truth[r.row_id]]
     neg = [r.oof_pred for r in scored if not truth[r.row_id]]
     assert sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) > 0.6
+    assert all(0 <= r.error < 1e-3 for r in baseline.out_of_fold_scores(prepared).collect())
     final = baseline.final_scores(prepared, df.select("row_id", "text")).collect()
     assert len(final) == len(rows) and all(0 < r.rule_violation < 1 for r in final)
 

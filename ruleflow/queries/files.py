@@ -8,9 +8,9 @@ from ruleflow import fixtures
 from ruleflow.functions.text import NA_TOKENS
 from ruleflow.operators import blending, profiling
 from ruleflow.plans import ensemble, training_frame
-from ruleflow.queries.registry import CLEAN_FRAME, COMMENTS, PREDICTIONS, query
+from ruleflow.queries.registry import CLEAN_FRAME, COMMENTS, ORACLES, PREDICTIONS, query
 from ruleflow.queries.scoring import RANKED, blend_sql, rounded, sample
-from ruleflow.sources import comments, predictions, publishing, sinks
+from ruleflow.sources import comments, predictions, publishing, quoted, sinks
 from ruleflow.storage import materialize, scratch_path
 
 NA_LIST = ", ".join(f"'{token}'" for token in NA_TOKENS)
@@ -28,6 +28,14 @@ def csv_scan(spark, sf_dir):
     return comments.read_comments(spark, path, comments.TRAIN_COLUMNS, {"row_id": "long"})
 
 
+@query("a1_split_scan", ORACLES["a1_csv_scan"])
+def split_scan(spark, sf_dir):
+    """The same comments from one file, whose pieces several tasks read."""
+    path = scratch_path(spark, "one-csv")
+    sinks.write_csv(fixtures.comments(spark, sf_dir).coalesce(1), path)
+    return quoted.read_quoted(spark, path, comments.TRAIN_COLUMNS, {"row_id": "long"})
+
+
 @query("a2_required_columns", """
 SELECT 'comments' AS table_name, 'none' AS missing, count(*) AS n_rows FROM documents
 UNION ALL SELECT 'documents', 'body,rule,rule_violation', count(*) FROM documents

@@ -141,8 +141,11 @@ def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, p
         rooted = first.join(candidates.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("root", "fp").alias("route"), "first")
         several = rooted.groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("route")
         wanted = scratch.store(rooted.join(several, "route").select("key", "route", F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest")), "wanted")
-        keyed = docs.withColumn("_text_digest", simhash.digest())
-        named = keyed.select(F.col("doc_id").cast("long").alias("_doc"), "_text_digest", F.col("text").cast("string").alias("text"))
+        # A row goes along whole, so no name of the caller's meets one of these.
+        keyed = docs.select(
+            F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"), simhash.digest().alias("_text_digest"), F.col("text").cast("string").alias("text")
+        )
+        named = keyed.select("_doc", "_text_digest", "text")
         same = named["_doc"].eqNullSafe(wanted["_id"]) & (named["_text_digest"] == wanted["_digest"])
         members = named.join(wanted, same).select("key", "route", "text").dropDuplicates(["key"])
         texts = scratch.store(members, "texts")
@@ -152,6 +155,6 @@ def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, p
         stars = connected_components(links, scratch, "similar").withColumnRenamed("node", "key")
         best = first.join(stars, "key", "left").groupBy(F.coalesce("root", "key")).agg(F.min("first").alias("first"))
         chosen = scratch.store(best.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest")), "chosen")
-        alike = keyed["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (keyed["_text_digest"] == chosen["_digest"])
-        kept = keyed.join(chosen, alike).dropDuplicates(["_id", "_text_digest"])
-        return materialize(kept.select(*[keyed[name] for name in docs.columns]), "near-dedup-result")
+        alike = keyed["_doc"].eqNullSafe(chosen["_id"]) & (keyed["_text_digest"] == chosen["_digest"])
+        kept = keyed.select("row", "_doc", "_text_digest").join(chosen, alike).dropDuplicates(["_id", "_text_digest"])
+        return materialize(kept.select("row.*"), "near-dedup-result")

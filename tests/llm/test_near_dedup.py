@@ -60,3 +60,13 @@ def test_components_are_those_of_all_similar_pairs(spark, part_rows):
     kept = near_dedup.representatives(docs, part_rows=part_rows)
     assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
     assert near_dedup.representatives(docs.limit(0)).count() == 0
+
+
+def test_columns_named_like_helpers_come_back_as_they_are(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    names = ["_text_digest", "_doc", "_id", "_digest", "row", "key", "route", "fp", "first", "digest"]
+    rows = [(1, text, *["keep1"] * len(names)), (2, text, *["keep2"] * len(names)), (None, "other words", *["keep3"] * len(names)), (3, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    found = near_dedup.representatives(docs)
+    assert found.dtypes == docs.dtypes
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)

@@ -324,7 +324,8 @@ def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, p
         first = prints.groupBy("fp").agg(F.min(place).alias("first"))
         best = components.join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
         chosen = scratch.store(best.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest")), "chosen")
-        keyed = docs.withColumn("_text_digest", digest())
-        same = keyed["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (keyed["_text_digest"] == chosen["_digest"])
+        # A row goes along whole, so no name of the caller's meets one of these.
+        keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_doc"), digest().alias("_text_digest"))
+        same = keyed["_doc"].eqNullSafe(chosen["_id"]) & (keyed["_text_digest"] == chosen["_digest"])
         kept = keyed.join(chosen, same).dropDuplicates(["_id", "_text_digest"])
-        return materialize(kept.select(*[keyed[name] for name in docs.columns]), "representatives")
+        return materialize(kept.select("row.*"), "representatives")

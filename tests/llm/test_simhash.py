@@ -132,3 +132,13 @@ def test_representatives_with_odd_rows(spark):
     found = sorted(((r.doc_id, r.root) for r in kept.collect()), key=str)
     assert len(found) == 5 and {f for f in found if f[0] != 3} == {(8, "e"), (8, "i"), (None, "g"), (None, "h")}
     assert simhash.representatives(docs.limit(0)).count() == 0
+
+
+def test_columns_named_like_helpers_come_back_as_they_are(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    names = ["_text_digest", "_doc", "_id", "_digest", "row", "root", "route", "fp", "first", "digest"]
+    rows = [(1, text, *["keep1"] * len(names)), (2, text, *["keep2"] * len(names)), (None, "other words", *["keep3"] * len(names)), (3, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    found = simhash.representatives(docs)
+    assert found.dtypes == docs.dtypes
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleflow.llm import classifier, decontamination, near_dedup, piece_coding, secret_scan
+from ruleflow.llm import classifier, decontamination, piece_coding, secret_scan, simhash
 from ruleflow.storage import Scratch, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by similarity 0.8 of five-word shingles: the one with the smallest id."""
-    return near_dedup.representatives(docs)
+    """Keeps one document of each component of ``op1_simhash`` (three-word shingles, three bits): the one with the smallest id."""
+    return simhash.representatives(docs, simhash.WORDS, simhash.RADIUS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

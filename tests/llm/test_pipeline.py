@@ -1,6 +1,6 @@
 import corpus_pipeline
 import public_tokenizers
-from ruleflow.llm import classifier, decontamination, piece_coding, secret_scan
+from ruleflow.llm import classifier, decontamination, piece_coding, secret_scan, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +21,7 @@ def test_every_stage_keeps_what_its_operator_says(spark):
     kept = {r.doc_id: r for r in single.collect()}
     assert kept.items() <= rows.items() and len({r.text for r in kept.values()}) == len(kept)
     assert {r.text.lower() for r in rows.values()} >= {r.text.lower() for r in kept.values()}
+    assert set(kept) == {r.component_id for r in simhash.near_duplicates(good).collect()}
     clean = stages["benchmark decontamination"](spark, single, SF)
     leaked = {r.doc_id for r in decontamination.leaks(single, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert clean.columns == columns and {r.doc_id for r in clean.collect()} == set(kept) - leaked

@@ -1,17 +1,22 @@
 """Benchmark decontamination: SimHash over item-sized windows, multi-index Hamming blocks, exact verification.
 
-A window as long as a benchmark item slides over the words of a document. Its SimHash is looked up among
-the items of that length in tables over ``radius + 1`` blocks of the fingerprint: two fingerprints within
-the radius differ in at most ``radius`` blocks, so at least one block is the same and no such item is
-missed. What is left is verified by the weighted similarity of the shingles themselves.
-
-A window that has no shingle in common with any item has similarity zero, so only windows that touch a
-shingle of the benchmark get a fingerprint. Their fingerprints come from running sums, so a window costs
-the same whatever its length.
+A window as long as a benchmark item slides over the words of a document. Two texts with similarity ``s``
+share a fixed part of their shingles, so an item is looked for only where a text holds one of its rarest
+shingles (as many as leave too few others), and only windows with enough of its shingles get a
+fingerprint, from running sums, so that a window costs the same whatever its length. Fingerprints are
+searched in tables over ``radius + 1`` blocks: two within the radius differ in at most ``radius`` blocks, so
+at least one block is the same and no such item is missed. What is left is verified by the weighted
+similarity of the shingles themselves.
+
+Shingles that many items have in common bring nothing together unless an item has no others.
 """
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -22,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleflow.llm.blocks import joined_bytes, text_blocks
+from ruleflow.llm.blocks import text_blocks, texts
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -35,15 +40,38 @@ PASS_CHARS = 16 << 20
 GATE_BITS = 24
 # Windows whose running sums are held at once, and the gap in words at which they are parted before.
 PART_WINDOWS, PART_GAP = 4096, 64
+# Pairs of a window and an item that one search of the index may meet in a block.
+PART_PAIRS = 1 << 18
 
-LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
-# Word characters: ASCII letters and digits, and every byte of a longer UTF-8 sequence.
+NO_WORD = re.compile(r"[^\x00-\x7f\w]+")
+# Word bytes of a folded text: ASCII letters and digits, and every byte of a longer UTF-8 sequence.
 IN_WORD = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def folded(text: str) -> bytes:
+    """A text in which words are runs of ``IN_WORD``: compatible forms and cases are one, other characters than
+    letters, digits and marks are white space outside ASCII."""
+    if text.isascii():
+        return text.lower().encode()
+    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    parts = NO_WORD.sub(apart, text)
+    return parts.encode()
+
+
+def apart(found: re.Match) -> str:
+    """Marks stay, as they belong to the letter before them; anything else parts words."""
+    return "".join(c if unicodedata.category(c)[0] == "M" else " " for c in found[0])
+
+
+def joined(parts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The folded bytes of texts one after the other, and the n + 1 offsets of the texts in them."""
+    encoded = [folded(text) for text in parts]
+    return np.frombuffer(b"".join(encoded), np.uint8), np.cumsum([0, *map(len, encoded)])
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     values = (values ^ (values >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -65,8 +93,7 @@ class Words:
 
 
 def cut(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Lower-cased words of the texts, hashed by a running polynomial over all bytes at once."""
-    data = LOWER[data]
+    """The words of folded texts, hashed by a running polynomial over all bytes at once."""
     inside = np.zeros(len(data) + 1, bool)
     inside[:-1] = IN_WORD[data]
     before = np.r_[False, inside[:-1]]
@@ -165,148 +192,199 @@ class MultiIndex:
 
 
 class Benchmark:
-    """The items of one pass: their shingles for the gate, their fingerprints by length, their counted shingles."""
+    """The items of one pass: fingerprints, words, shingles as hashes, and the items by their rarest shingles."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int = WORDS, radius: int = RADIUS):
-        self.size = size
+    def __init__(self, items: list[tuple[int, str]], size: int = WORDS, radius: int = RADIUS, similarity: float = SIMILARITY):
+        self.size, self.radius, self.similarity = size, radius, similarity
         self.ids = [item for item, _ in items]
-        encoded = [text.encode() for _, text in items]
-        offsets = np.cumsum([0, *map(len, encoded)])
-        words = cut(np.frombuffer(b"".join(encoded), np.uint8), offsets)
+        words = cut(*joined(text for _, text in items))
         hashes = shingles(words, size)
-        self.counts, gate, owners = [], [], []
-        by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for i in range(len(items)):
+        self.lengths = np.diff(words.first)
+        self.prints = np.zeros(len(items), np.uint64)
+        self.words, self.own = words, []
+        for i, n in enumerate(self.lengths.tolist()):
             first, end = int(words.first[i]), int(words.first[i + 1])
-            self.counts.append(counted(words.text(first, end), size))
-            if end == first:
-                continue
-            own = hashes[first : end - size + 1] if end - first >= size else whole(words, first, end)
-            by_length[end - first].append((i, to_print(signs(own).sum(axis=0, keepdims=True))[0]))
-            distinct = np.unique(own)
-            gate.append(distinct)
-            owners.append(np.full(len(distinct), end - first))
-        self.by_length = {
-            n: (np.array([i for i, _ in found]), MultiIndex(np.array([p for _, p in found], np.uint64), radius))
-            for n, found in by_length.items()
-        }
-        every = np.concatenate(gate) if gate else np.empty(0, np.uint64)
-        lengths = np.concatenate(owners) if owners else np.empty(0, np.int64)
-        order = np.lexsort((lengths, every))
-        self.gate, self.gate_lengths = every[order], lengths[order]
+            own = hashes[first : end - size + 1] if n >= size else whole(words, first, end) if n else hashes[:0]
+            self.own.append(own)
+            if n:
+                self.prints[i] = to_print(signs(own).sum(axis=0, keepdims=True))[0]
+        short = np.flatnonzero((self.lengths > 0) & (self.lengths < size))
+        self.short = {n: short[self.lengths[short] == n] for n in np.unique(self.lengths[short]).tolist()}
+        self.gate, self.gate_items = self.rarest(np.flatnonzero(self.lengths >= size).tolist())
         self.flags = np.zeros(1 << GATE_BITS, bool)
         self.flags[self.gate & np.uint64((1 << GATE_BITS) - 1)] = True
-        self.short = sorted(n for n in self.by_length if n < size)
+
+    def counts(self, item: int) -> Counter:
+        return counted(self.words.text(int(self.words.first[item]), int(self.words.first[item + 1])), self.size)
+
+    def rarest(self, items: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles and the items that are looked for where a text has them, in order of the shingles.
+
+        A window of the similarity shares at least ``least`` of an item's shingles, so it has one of any that
+        are one more than the rest; these are the ones that fewest items have.
+        """
+        if not items:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        distinct = [np.unique(self.own[i]) for i in items]
+        every, held = np.unique(np.concatenate(distinct), return_counts=True)
+        keys, owners = [], []
+        for i in items:
+            own = self.own[i]
+            order = np.argsort(held[np.searchsorted(every, own)], kind="stable")
+            found = np.unique(own[order[: len(own) - self.least(0, len(own)) + 1]])
+            keys.append(found)
+            owners.append(np.full(len(found), i))
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        return key[order], owner[order]
+
+    def least(self, window: int, item: int) -> int:
+        """The least shared weight at which a window and an item of so many shingles can be similar enough.
+
+        Sharing ``c`` makes a similarity of ``c / (window + item - c)`` and at most ``c / item``.
+        """
+        s = self.similarity
+        return max(1, math.ceil(max(s * item, s * (window + item) / (1 + s)) - 1e-6))
 
     def touched(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions whose shingle is one of the benchmark's."""
+        """Positions whose shingle is one that items are looked for by."""
         maybe = np.flatnonzero(self.flags[hashes & np.uint64((1 << GATE_BITS) - 1)])
         place = np.searchsorted(self.gate, hashes[maybe])
         place[place == len(self.gate)] = 0
         return maybe[self.gate[place] == hashes[maybe]] if len(self.gate) else maybe[:0]
 
-    def by_item_length(self, positions: np.ndarray, values: np.ndarray) -> dict[int, np.ndarray]:
-        """The positions again for each length of an item that has the shingle there."""
+    def looked_for(self, values: np.ndarray) -> np.ndarray:
+        """The items that are looked for by any of the shingles."""
+        values = np.unique(values)
         low, high = np.searchsorted(self.gate, values, "left"), np.searchsorted(self.gate, values, "right")
         width = high - low
-        place = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
-        lengths, again = self.gate_lengths[place], np.repeat(positions, width)
-        return {n: np.unique(again[lengths == n]) for n in np.unique(lengths).tolist()}
+        return np.unique(self.gate_items[np.arange(width.sum()) + np.repeat(low - (np.cumsum(width) - width), width)])
 
 
 Match = tuple[int, int, float, int, int, int]
 
 
-def matches(words: Words, benchmark: Benchmark, similarity: float) -> Iterator[Match]:
+def matches(words: Words, benchmark: Benchmark) -> Iterator[Match]:
     """(text, item, similarity, distance, first word, words) of the best window for each text and item."""
     size = benchmark.size
     hashes = shingles(words, size)
     counts = np.diff(words.first)
     owner = np.repeat(np.arange(len(counts)), counts)
     left = words.first[1:][owner] - np.arange(len(owner))  # words of the text from here on
-    hits = benchmark.touched(np.where(left >= size, hashes, np.uint64(0)))
+    hits = benchmark.touched(hashes)
     hits = hits[left[hits] >= size]
     for found in np.split(hits, np.flatnonzero(np.diff(owner[hits])) + 1) if len(hits) else []:
         text = int(owner[found[0]])
         first, end = int(words.first[text]), int(words.first[text + 1])
-        for n, positions in benchmark.by_item_length(found, hashes[found]).items():
-            starts = window_starts(positions, n, size, first, end)
-            yield from best_windows(words, hashes, benchmark, similarity, text, n, starts)
+        own = hashes[first : end - size + 1]
+        order = np.argsort(own)
+        windows: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
+        for item in benchmark.looked_for(hashes[found]).tolist():
+            starts = window_starts(own, order, benchmark, item)
+            if len(starts):
+                windows[int(benchmark.lengths[item])][item] = starts + first
+        for n, by_item in windows.items():
+            yield from best_windows(words, hashes, benchmark, text, n, by_item)
     for text in np.flatnonzero((counts > 0) & (counts < size)).tolist():
         yield from short_matches(words, benchmark, text)
     if benchmark.short:
         yield from short_items(words, benchmark, owner, left)
 
 
-def window_starts(positions: np.ndarray, n: int, size: int, first: int, end: int) -> np.ndarray:
-    """Where windows of ``n`` words start that hold one of the shingles; a shorter text is one window."""
-    if n >= end - first:
-        return np.array([first])
-    edge = np.zeros(end - first + 1, np.int64)
-    np.add.at(edge, np.maximum(positions - (n - size), first) - first, 1)
-    np.add.at(edge, np.minimum(positions, end - n) - first + 1, -1)
-    return np.flatnonzero(np.cumsum(edge) > 0) + first
+def window_starts(own: np.ndarray, order: np.ndarray, benchmark: Benchmark, item: int) -> np.ndarray:
+    """Where windows of a text start that hold enough shingles of the item; a shorter text is one window.
 
-
-def best_windows(words, hashes, benchmark, similarity, text, n, starts) -> Iterator[Match]:
+    ``own`` are the text's shingles and ``order`` sorts them.
+    """
+    wanted = np.unique(benchmark.own[item])
+    low = np.searchsorted(own, wanted, "left", sorter=order)
+    width = np.searchsorted(own, wanted, "right", sorter=order) - low
+    places = np.sort(order[np.arange(width.sum()) + np.repeat(low - (np.cumsum(width) - width), width)])
+    whole_item = len(benchmark.own[item])
+    window = min(whole_item, len(own))
+    least = benchmark.least(window, whole_item)
+    if len(places) < least:
+        return places[:0]
+    from_, to = places[: len(places) - least + 1], places[least - 1 :]
+    # ``least`` shingles that follow each other are inside the windows that start between these two.
+    low, high = np.maximum(to - window + 1, 0), np.minimum(from_, len(own) - window)
+    low, high = low[low <= high], high[low <= high]
+    if not len(low):
+        return low
+    edge = np.zeros(int(high.max()) + 2 - int(low.min()), np.int64)
+    np.add.at(edge, low - low.min(), 1)
+    np.add.at(edge, high + 1 - low.min(), -1)
+    return np.flatnonzero(np.cumsum(edge) > 0) + low.min()
+
+
+def best_windows(words: Words, hashes: np.ndarray, benchmark: Benchmark, text: int, n: int, by_item: dict[int, np.ndarray]) -> Iterator[Match]:
+    """The best windows for the items of ``n`` words, of those that each item allows."""
     size, first, end = benchmark.size, int(words.first[text]), int(words.first[text + 1])
-    items, index = benchmark.by_length[n]
     best: dict[int, tuple] = {}
-    breaks = np.flatnonzero(np.diff(starts) > PART_GAP) + 1
-    parts = [p[i : i + PART_WINDOWS] for p in np.split(starts, breaks) for i in range(0, len(p), PART_WINDOWS)]
-    for part in parts:
-        stops = np.minimum(part + n, end)
-        low, high = int(part[0]), int(stops[-1]) - size + 1
-        sums = np.zeros((high - low + 1, 64), np.int32)
-        np.cumsum(signs(hashes[low:high]), axis=0, out=sums[1:])
-        prints = to_print(sums[stops - size + 1 - low] - sums[part - low])
-        seen: dict[int, Counter] = {}
-        for query, item, distance in zip(*index.search(prints), strict=True):
-            start, stop = int(part[query]), int(stops[query])
-            if start not in seen:
-                seen[start] = counted(words.text(start, stop), size)
-            found = weighted_similarity(seen[start], benchmark.counts[items[item]])
-            if found >= similarity:
-                row = (-found, start - first, int(distance), stop - start)
-                best[int(item)] = min(best.get(int(item), row), row)
+    counts: dict[int, Counter] = {}
+    items = np.array(list(by_item))
+    for some in np.split(items, range(PART_WINDOWS, len(items), PART_WINDOWS)):
+        index = MultiIndex(benchmark.prints[some], benchmark.radius)
+        counts.clear()
+        starts = np.unique(np.concatenate([by_item[i] for i in some.tolist()]))
+        step = max(1, min(PART_WINDOWS, PART_PAIRS // len(some)))
+        breaks = np.flatnonzero(np.diff(starts) > PART_GAP) + 1
+        for part in (p[i : i + step] for p in np.split(starts, breaks) for i in range(0, len(p), step)):
+            stops = np.minimum(part + n, end)
+            low, high = int(part[0]), int(stops[-1]) - size + 1
+            sums = np.zeros((high - low + 1, 64), np.int32)
+            np.cumsum(signs(hashes[low:high]), axis=0, out=sums[1:])
+            prints = to_print(sums[stops - size + 1 - low] - sums[part - low])
+            held, seen = None, Counter()
+            for query, number, distance in zip(*index.search(prints), strict=True):
+                item, start, stop = int(some[number]), int(part[query]), int(stops[query])
+                if item in best and best[item][0] == -1.0:
+                    continue  # the same shingles, earlier in the text
+                if start != held:
+                    held, seen = start, counted(words.text(start, stop), size)
+                if item not in counts:
+                    counts[item] = benchmark.counts(item)
+                found = weighted_similarity(seen, counts[item])
+                if found >= benchmark.similarity:
+                    row = (-found, start - first, int(distance), stop - start)
+                    best[item] = min(best.get(item, row), row)
     for item, (negative, start, distance, length) in sorted(best.items()):
-        yield text, int(items[item]), -negative, distance, start, length
+        yield text, item, -negative, distance, start, length
 
 
 def short_matches(words: Words, benchmark: Benchmark, text: int) -> Iterator[Match]:
     """A text with fewer words than a shingle: its one window is itself."""
     first, end = int(words.first[text]), int(words.first[text + 1])
     n = end - first
-    if n in benchmark.by_length:
-        items, index = benchmark.by_length[n]
-        own = counted(words.text(first, end), benchmark.size)
-        _, found, _ = index.search(to_print(signs(whole(words, first, end))))
-        for item in found.tolist():
-            if own == benchmark.counts[items[item]]:
-                yield text, int(items[item]), 1.0, 0, 0, n
+    items = benchmark.short.get(n, np.empty(0, np.int64))
+    own = counted(words.text(first, end), benchmark.size)
+    for item in items[benchmark.prints[items] == whole(words, first, end)].tolist():
+        if own == benchmark.counts(item):
+            yield text, item, 1.0, 0, 0, n
 
 
 def short_items(words: Words, benchmark: Benchmark, owner: np.ndarray, left: np.ndarray) -> Iterator[Match]:
     """Items with fewer words than a shingle inside longer texts: their windows are their own only shingle."""
     counts = np.diff(words.first)
     padded = np.r_[words.hashes, np.zeros(benchmark.size, np.uint64)]
-    for n in benchmark.short:
-        items, index = benchmark.by_length[n]
+    for n, items in benchmark.short.items():
+        item_prints = benchmark.prints[items]
         total = np.full(len(words.hashes), 12345 + n, np.uint64)
         for i in range(n):
             total = total * BASE + padded[i : i + len(total)]
         prints = mix(total)  # of one shingle, the fingerprint is its hash
-        wanted = np.isin(prints, index.prints) & (left >= n) & (counts[owner] >= benchmark.size)
+        wanted = np.isin(prints, item_prints) & (left >= n) & (counts[owner] >= benchmark.size)
         seen = set()
         for position in np.flatnonzero(wanted).tolist():
             text = int(owner[position])
             own = counted(words.text(position, position + n), benchmark.size)
-            for item in np.flatnonzero(index.prints == prints[position]).tolist():
-                if (text, item) not in seen and own == benchmark.counts[items[item]]:
+            for item in items[item_prints == prints[position]].tolist():
+                if (text, item) not in seen and own == benchmark.counts(item):
                     seen.add((text, item))
-                    yield text, int(items[item]), 1.0, 0, position - int(words.first[text]), n
+                    yield text, item, 1.0, 0, position - int(words.first[text]), n
 
 
+Sent = tuple[str, Broadcast]
 SCHEMA = "doc_id long, item_id long, similarity double, distance int, first_word long, n_words long"
 
 
@@ -317,8 +395,9 @@ def leaks(
     """``SCHEMA``: for each row of ``docs`` and each item with a window of the item's length at ``similarity`` or
     more, the best such window (the first of equal ones).
 
-    Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z lowered, so that
-    case and punctuation do not matter; shingles of ``words`` words weigh as often as they occur. An item
+    Words are runs of letters, digits and marks of any script (beyond ASCII also what Unicode counts as a part of
+    words), with compatible forms and cases as one, so that case, accents' encoding, typographic quotes and other
+    punctuation do not matter; shingles of ``words`` words weigh as often as they occur. An item
     or text with fewer words is one shingle, one without words matches nothing; a text shorter than an item
     is one window. NULL texts count as empty, NULL items are left out, repeated rows and NULL ids stay.
     The benchmark is sent to the tasks in passes of about ``pass_chars`` characters, one pass over the
@@ -342,23 +421,36 @@ def without_leaks(
     return docs
 
 
-def in_passes(benchmark: DataFrame, pass_chars: int) -> Iterator[Broadcast]:
-    """The items, about ``pass_chars`` characters at a time."""
+def in_passes(benchmark: DataFrame, pass_chars: int) -> Iterator[Sent]:
+    """The items, about ``pass_chars`` characters at a time, each time with a name of its own."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-total // pass_chars))
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
     for i in range(passes):
         part = [(row.item_id, row.text) for row in items.filter(number == i).collect()]
-        yield benchmark.sparkSession.sparkContext.broadcast(part)
+        yield uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(part)
+
+
+# The index that a Python worker made last, by the name of its pass and its settings.
+KEPT: dict[tuple, Benchmark] = {}
+
+
+def index_of(sent: Sent, similarity: float, words: int, radius: int) -> Benchmark:
+    """The index of a pass, made once per Python worker; only the last one is kept."""
+    name, items = sent
+    key = (name, similarity, words, radius)
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = Benchmark(items.value, words, radius, similarity)
+    return KEPT[key]
 
 
-def searcher(sent: Broadcast, similarity: float, words: int, radius: int) -> Callable:
+def searcher(sent: Sent, similarity: float, words: int, radius: int) -> Callable:
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmark = Benchmark(sent.value, words, radius)
+        benchmark = index_of(sent, similarity, words, radius)
         for block in text_blocks(batches, "text"):
-            cut_words = cut(*joined_bytes(block, "text"))
-            found = list(matches(cut_words, benchmark, similarity))
+            found = list(matches(cut(*joined(texts(block, "text"))), benchmark))
             if found:
                 text, item, value, distance, start, length = map(list, zip(*found, strict=True))
                 columns = [
@@ -371,12 +463,12 @@ def searcher(sent: Broadcast, similarity: float, words: int, radius: int) -> Cal
     return search
 
 
-def cleaner(sent: Broadcast, similarity: float, words: int, radius: int) -> Callable:
+def cleaner(sent: Sent, similarity: float, words: int, radius: int) -> Callable:
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmark = Benchmark(sent.value, words, radius)
+        benchmark = index_of(sent, similarity, words, radius)
         for block in text_blocks(batches, "text"):
             keep = np.ones(block.num_rows, bool)
-            for text, *_ in matches(cut(*joined_bytes(block, "text")), benchmark, similarity):
+            for text, *_ in matches(cut(*joined(texts(block, "text"))), benchmark):
                 keep[text] = False
             yield block.filter(pa.array(keep))
 

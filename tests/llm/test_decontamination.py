@@ -1,5 +1,6 @@
-import re
+import unicodedata
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -7,9 +8,17 @@ import pytest
 from ruleflow.llm import decontamination as dec
 
 
+@cache
 def slow_words(text):
-    folded = (text or "").encode().lower()
-    return re.findall(rb"(?:[0-9a-z]|[\x80-\xff])+", folded)
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    found, word = [], ""
+    for c in folded + " ":
+        if c.isalnum() or (ord(c) > 127 and unicodedata.category(c)[0] == "M"):
+            word += c
+        else:
+            found += [word.encode()] if word else []
+            word = ""
+    return found
 
 
 def slow_shingles(words):
@@ -24,9 +33,11 @@ def slow_leaks(docs, items):
             wanted = slow_words(benchmark)
             if benchmark is None or not wanted or not words:
                 continue
-            best = None
+            best, b = None, slow_shingles(wanted)
+            if not b & slow_shingles(words) and len(wanted) >= 5:
+                continue
             for start in range(max(1, len(words) - len(wanted) + 1)):
-                a, b = slow_shingles(words[start : start + len(wanted)]), slow_shingles(wanted)
+                a = slow_shingles(words[start : start + len(wanted)])
                 value = sum((a & b).values()) / sum((a | b).values())
                 if value >= 0.8 and (best is None or value > best[0]):
                     best = (value, start)
@@ -37,7 +48,7 @@ def slow_leaks(docs, items):
 
 def corpus(seed=0):
     rng = np.random.default_rng(seed)
-    vocabulary = [f"w{i}" for i in range(400)] + ["the", "of", "to"] * 60 + ["Ä", "日本"]
+    vocabulary = [f"w{i}" for i in range(400)] + ["the", "of", "to"] * 60 + ["Ä", "e\u0301t", "日本", "l’ß", "क्ष"]
     some = lambda n: [str(w) for w in rng.choice(vocabulary, n)]
     items = [(i, " ".join(some(int(rng.integers(8, 60))))) for i in range(30)]
     items += [(100, "one two three"), (101, "Lone"), (102, ""), (103, None), (104, items[0][1]), (105, "the of to the of to the of")]
@@ -57,9 +68,7 @@ def corpus(seed=0):
 
 
 def blocks(docs):
-    data = "".join(t or "" for _, t in docs).encode()
-    offsets = np.cumsum([0, *[len((t or "").encode()) for _, t in docs]])
-    return np.frombuffer(data, np.uint8), offsets
+    return dec.joined(t or "" for _, t in docs)
 
 
 def test_words_equal_definition():
@@ -85,9 +94,10 @@ def test_multi_index_misses_nothing_within_the_radius():
 @pytest.mark.parametrize("seed", range(4))
 def test_matches_equal_comparing_every_window(seed, monkeypatch):
     monkeypatch.setattr(dec, "PART_WINDOWS", 7 if seed % 2 else 4096)
+    monkeypatch.setattr(dec, "PART_PAIRS", 10 if seed > 1 else 1 << 18)
     docs, items = corpus(seed)
     benchmark = dec.Benchmark([i for i in items if i[1] is not None])
-    found = {(t, benchmark.ids[i]): (v, s) for t, i, v, _, s, _ in dec.matches(dec.cut(*blocks(docs)), benchmark, 0.8)}
+    found = {(t, benchmark.ids[i]): (v, s) for t, i, v, _, s, _ in dec.matches(dec.cut(*blocks(docs)), benchmark)}
     wanted = slow_leaks(docs, items)
     assert {k: (pytest.approx(v), s) for k, (v, s) in wanted.items()} == found
 
@@ -112,3 +122,33 @@ def test_rows_without_leaks(spark):
     kept = dec.without_leaks(frame, benchmark, pass_chars=900)
     assert kept.schema == frame.schema
     assert sorted(r.item_id for r in kept.collect()) == sorted({str(row) for row in range(len(docs))} - bad)
+
+
+@pytest.mark.parametrize(("text", "item"), [
+    ("So it’s true that we don’t know “what” he said", "so it's true that we don't know \"what\" he said"),
+    ("L’ÉCOLE EST FERMÉE POUR LES ÉLÈVES", "l'école est fermée pour les élèves"),
+    ("one\u00a0two three—four five… six", "one two three-four five six"),
+    ("cafe\u0301 au lait pour tout le monde", "CAFÉ au lait pour tout le monde"),
+    ("ﬁrst of all Ｆｕｌｌ width words in here", "first of all full width words in here"),
+    ("ΟΔΟΣ και STRASSE für alle Leute hier", "οδος και straße für alle leute hier"),
+])
+def test_typographic_forms_are_found(text, item):
+    words = dec.cut(*dec.joined(["before that. " + text + " After that."]))
+    assert [(t, i, v) for t, i, v, *_ in dec.matches(words, dec.Benchmark([(7, item)]))] == [(0, 0, 1.0)]
+
+
+def test_windows_with_few_shared_shingles_are_no_candidates():
+    """Items of one length that share a lead-in are looked for by what they don't share."""
+    lead = "which of the following statements about the text above is true"
+    benchmark = dec.Benchmark([(i, f"{lead} " + " ".join(f"i{i}w{j}" for j in range(20))) for i in range(500)])
+    text = " ".join(f"{lead} and x{i} y{i} z{i}" for i in range(50)) + f" {lead} " + " ".join(f"i7w{j}" for j in range(20))
+    words = dec.cut(*dec.joined([text]))
+    hits = benchmark.touched(dec.shingles(words))
+    assert benchmark.looked_for(dec.shingles(words)[hits]).tolist() == [7]
+    assert [(i, v) for _, i, v, *_ in dec.matches(words, benchmark)] == [(7, 1.0)]
+
+
+def test_long_repeated_text():
+    benchmark = dec.Benchmark([(1, "a b c d e f g h i j k l"), (2, "x " * 40)])
+    words = dec.cut(*dec.joined(["z " * 100_000 + "a b c d e f g h i j k l " + "x " * 100_000]))
+    assert [(i, v, s) for _, i, v, _, s, _ in dec.matches(words, benchmark)] == [(0, 1.0, 100_000), (1, 1.0, 100_012)]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleflow.operators import features
+from ruleflow.functions.text import fold_text, words
+from ruleflow.operators import features, terms
 from ruleflow.operators.features import WORD_BLOCK
 from ruleflow.storage import materialize
 
@@ -18,27 +21,43 @@ def similarity_features(df: DataFrame, parts: Sequence[str], row_id: str = "row_
     """``row_id`` and ``similarity_<part>``: cosine of the first part's TF-IDF vector with that of each other part.
 
     The vocabulary and its weights come from the first part of all rows and are bounded as in the word
-    block. Rows meet themselves only, by id and term, so the cost follows the texts. A part that is NULL
-    or has no known term has similarity 0.
+    block, so they are broadcast. A row's parts are weighed where they are and no n-gram is stored or shuffled. A part that
+    is NULL or has no known term has similarity 0.
     """
-    first, others = parts[0], parts[1:]
-    texts = df.select(
-        F.col(row_id).alias("row_id"), F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in parts]))
-    )
-    counts = features.stored_counts(texts, "text", keep=["part"], blocks=[WORD_BLOCK])
+    texts = df.select(F.col(row_id).alias("row_id"), *[F.col(p).alias(f"_part{i}") for i, p in enumerate(parts)])
     rows = df.agg(F.count(F.lit(1))).scalar()
-    stats = materialize(features.term_statistics(counts.filter(F.col("part") == first)), "first-part-terms")
-    kept = features.prune_vocabulary(stats, rows, WORD_BLOCK)
-
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_id", "part")))
-    weights = features.raw_weights(counts, kept, rows).select("row_id", "part", "term", (F.col("raw") / length).alias("weight"))
-    own = weights.filter(F.col("part") == first).select("row_id", "term", F.col("weight").alias("own"))
-    met = weights.filter(F.col("part") != first).join(own, ["row_id", "term"])
-    products = met.groupBy("row_id").agg(
-        *[F.sum(F.when(F.col("part") == p, F.col("weight") * F.col("own"))).alias(f"similarity_{p}") for p in others]
-    )
-    found = df.select(F.col(row_id).alias("row_id")).join(products, "row_id", "left")
-    return found.select("row_id", *[F.coalesce(f"similarity_{p}", F.lit(0.0)).alias(f"similarity_{p}") for p in others])
+    stats = materialize(terms.statistics(terms.analysed(texts, "_part0"), blocks=[WORD_BLOCK.name]), "first-part-terms")
+    kept = features.prune_vocabulary(stats, rows, WORD_BLOCK).select("term", features.inverse_frequency(F.col("df"), rows).alias("idf")).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((kept.column("term").to_pylist(), kept.column("idf").to_numpy()))
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = [words(fold_text(F.coalesce(F.col(f"_part{i}"), F.lit("")))).alias(f"_part{i}") for i in range(len(parts))]
+    names = [f"similarity_{p}" for p in parts[1:]]
+    schema = ", ".join([f"row_id {texts.schema['row_id'].dataType.simpleString()}", *[f"`{n}` double" for n in names]])
+    return texts.repartition(number, "row_id").select("row_id", *tokens).mapInArrow(products(shared, names), schema)
+
+
+def products(shared, names: Sequence[str]) -> Callable:
+    """The products of the first part's unit vector with the others', by row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given, idf = shared.value
+        known = terms.WordTerms(given)
+
+        def vectors(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for index, times in known.rows(lists):
+                weight = (1 + np.log(times)) * idf[index]
+                yield index, weight / np.sqrt(weight @ weight) if len(index) else weight
+
+        for rows in terms.slices(batches):
+            own = np.zeros(len(idf))
+            found = np.zeros((rows.num_rows, len(names)))
+            for i, (first, *others) in enumerate(zip(*[vectors(rows.column(k + 1)) for k in range(len(names) + 1)], strict=True)):
+                own[first[0]] = first[1]
+                found[i] = [own[index] @ weight for index, weight in others]
+                own[first[0]] = 0.0
+            yield pa.RecordBatch.from_arrays([rows.column("row_id"), *[pa.array(c) for c in np.ascontiguousarray(found.T)]], names=["row_id", *names])
+
+    return run
 
 
 def cosine(left: Column, right: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ruleflow import fixtures
@@ -15,6 +17,9 @@ from ruleflow.storage import materialize, scratch_path
 
 NA_LIST = ", ".join(f"'{token}'" for token in NA_TOKENS)
 
+# Rows of a file that one task writes.
+FILE_ROWS = 20_000
+
 
 def present(column: str) -> str:
     return f"CASE WHEN {column} NOT IN ({NA_LIST}) THEN {column} END AS {column}"
@@ -30,9 +35,10 @@ def csv_scan(spark, sf_dir):
 
 @query("a1_split_scan", ORACLES["a1_csv_scan"])
 def split_scan(spark, sf_dir):
-    """The same comments from one file, whose pieces several tasks read."""
-    path = scratch_path(spark, "one-csv")
-    sinks.write_csv(fixtures.comments(spark, sf_dir).coalesce(1), path)
+    """The same comments from few files, each read by several tasks; a file's rows are bounded, as one task writes it."""
+    path = scratch_path(spark, "few-csv")
+    rows = fixtures.comments(spark, sf_dir)
+    sinks.write_csv(rows.repartition(max(1, math.ceil(rows.count() / FILE_ROWS)), "row_id"), path)
     return quoted.read_quoted(spark, path, comments.TRAIN_COLUMNS, {"row_id": "long"})
 
 

@@ -6,12 +6,14 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ruleflow.functions.text import strip_accents_py
 from ruleflow.operators import calibration, features, linear, similarity, terms
 from ruleflow.plans import baseline
+from ruleflow.queries import QUERIES
 
 TEXTS = [
     "Buy my course! Buy MY course at http://x.y", "a b cd  ef\tgh\n\nij", "", "éé Éé naïve ﬁne", "one",
@@ -224,6 +226,50 @@ def test_vectors_equal_the_long_table(spark, labelled, prepared, whole):
     assert found.keys() == long.keys() and all(found[k] == pytest.approx(long[k]) for k in long)
 
 
+@pytest.mark.parametrize("block, brute", [("word", python_words), ("char", python_chars)])
+def test_rows_of_terms_equal_brute_force(spark, block, brute):
+    df = spark.createDataFrame([*enumerate(TEXTS), (99, None)], "row_id long, text string")
+    rows = terms.analysed(df, "text")
+    wanted = {(i, term): n for i, text in enumerate(TEXTS) for term, n in brute(text).items()}
+    assert as_counter(terms.row_counts(rows, block).collect()) == wanted
+    sums = {r.row_id: (r.terms, r.grams, r.checksum) for r in terms.char_sums(rows, len).collect()}
+    counts = {i: python_chars(t) for i, t in enumerate(TEXTS)}
+    assert sums == {i: (len(c), sum(c.values()), sum(len(t) * n for t, n in c.items())) for i, c in counts.items() if c}
+
+
+def test_a_task_sends_terms_in_small_batches():
+    """What a task holds and sends does not grow with the terms that it has met."""
+    texts = [[f"w{i}x{j}" for j in range(3000)] for i in range(100)]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0, 1] * 50)], names=["tokens", "fold"])
+    found = list(terms.add_up(2, ["word"], 1 << 18)([rows]))
+    assert sum(b.num_rows for b in found) == 100 * 5999 and max(b.num_rows for b in found) <= 1 << 16
+
+
+def test_similarity_stores_no_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(features, "stored_counts", None)
+    df = spark.createDataFrame([(1, "red green", "red"), (2, "red green", "red green")], "row_id long, body string, rule string")
+    monkeypatch.setattr(similarity, "WORD_BLOCK", replace(features.WORD_BLOCK, max_df=1.0))
+    got = {r.row_id: r.similarity_rule for r in similarity.similarity_features(df, ["body", "rule"]).collect()}
+    assert got[2] == pytest.approx(1.0) and got[1] == pytest.approx(3**-0.5)
+
+
+def test_finished_models_ask_for_no_more_passes(spark, monkeypatch):
+    """One job serves all designs, and a model that is done from the start does not keep the others' steps going."""
+    passes, add_up = [], linear.add_up
+    monkeypatch.setattr(linear, "add_up", lambda *a: passes.append(1) or add_up(*a))
+    rows = [(i, i % 2, [0, 1], [1 + i % 2, 1 + i % 3]) for i in range(40)]
+    stored = spark.createDataFrame(rows, "row_id long, label int, indices array<int>, tfs array<int>")
+    designs = [linear.Design(np.ones(2), 1, 1), linear.Design(np.ones(2), 1, 2)]
+    fitted = linear.fit(stored, [[F.lit(1.0)], [F.lit(0.0), F.lit(2.0)]], designs, task_cells=10)
+    assert len(passes) < 60 and all((f.bound <= linear.SHARED_TOLERANCE).all() for f in fitted)
+    assert (fitted[1].coefficients[:, 0] == 0).all() and [f.coefficients.shape for f in fitted] == [(3, 1), (3, 2)]
+
+
+def test_fold_rows_read_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(terms, "statistics", None)
+    assert QUERIES["g5_fold_rows"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 @pytest.mark.parametrize("most_terms", [terms.MOST_TERMS, 50])
 def test_statistics_equal_the_long_table(labelled, most_terms):
     df = labelled[1].withColumn("fold", F.col("label"))

@@ -4,9 +4,11 @@ A page is cut into blocks of text, each under the path of its elements. A token
 that stands under a path. Tokens of one host that occur equally often in the same pages share an
 occurrence vector and form an equivalence class. A class is valid if it is in several pages; the class of
 a token's parent path is the class that it is nested in. Nested valid classes are the template, texts among
-their tokens are template text, and the paths with other text are its slots. Slots are judged by what
-their elements are for, and where that says nothing, once for the host, by how much their text varies and
-how much of it is links. Paths of too few pages to tell are judged by the page itself.
+their tokens are template text, and the paths with other text are its slots. Slots are judged once for the
+host, by how much their text varies and how much of it is links; that they are in an article or main element
+speaks for them and is outweighed by both together. Template text goes, in these elements too, unless it
+is nearly all that its pages have: then they are copies of one article. Elements of another use (menus, forms)
+are left out as such, and paths of too few pages to tell are judged by the page itself.
 
 Vectors are never gathered: a token's vector is known by a digest over its pages, which aggregates like a
 sum. Only counts by host and path are shuffled, and a host with most of the pages is pre-aggregated.
@@ -21,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleflow.llm.blocks import text_blocks
@@ -31,6 +33,10 @@ from ruleflow.storage import Scratch, materialize
 MIN_PAGES = 3
 # Of a slot whose elements say nothing: the least share of different texts, and the largest share of link text.
 VARIED, MOST_LINKS = 0.5, 0.5
+# Template text that makes up this share of the main text of its pages is the text of copied pages.
+COPIED = 0.9
+# The main element is taken instead of the articles in it if it has so many times their text.
+MAIN_TO_ARTICLE = 2
 
 # Elements and attribute words by their use.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -203,19 +209,27 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-BLOCK = "struct<path: string, text: string, links: int, out: boolean, main: int, hinted: boolean>"
+BLOCK = "struct<path: string, text: string, links: int, out: boolean, main: int, hinted: boolean, times: int>"
 ELEMENT = "struct<path: string, times: int>"
 PARSED = f"row long, page_id long, url string, host string, blocks array<{BLOCK}>, elements array<{ELEMENT}>"
 BLOCK_TYPE = pa.list_(pa.struct([
     ("path", pa.string()), ("text", pa.string()), ("links", pa.int32()), ("out", pa.bool_()), ("main", pa.int32()), ("hinted", pa.bool_()),
+    ("times", pa.int32()),
 ]))
 ELEMENT_TYPE = pa.list_(pa.struct([("path", pa.string()), ("times", pa.int32())]))
 
 
+def counted_blocks(blocks: list[Block]) -> list[dict]:
+    """Blocks as rows; ``times`` is how often a block's path and text are in the page, 0 from their second place on."""
+    counts = Counter(b[:2] for b in blocks)
+    names = ("path", "text", "links", "out", "main", "hinted")
+    return [dict(zip(names, b, strict=True)) | {"times": counts.pop(b[:2], 0)} for b in blocks]
+
+
 def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches, "html"):
         pages = [Parser(source or "") for source in block.column("html").to_pylist()]
-        found = [[dict(zip(("path", "text", "links", "out", "main", "hinted"), b, strict=True)) for b in p.blocks] for p in pages]
+        found = [counted_blocks(p.blocks) for p in pages]
         elements = [[{"path": path, "times": n} for path, n in p.elements.items()] for p in pages]
         columns = [
             block.column("row"), block.column("page_id"), block.column("url"),
@@ -232,33 +246,42 @@ def parsed(pages: DataFrame) -> DataFrame:
     return given.select(F.xxhash64("page_id", "url", "html").alias("row"), "*").mapInArrow(parse, PARSED)
 
 
-def outlines(pages: DataFrame) -> DataFrame:
-    """``(host, row, elements, loose)`` of parsed pages: what templates are made from, with digests for texts.
-
-    ``loose`` are the blocks whose elements don't say whether they hold main text.
-    """
-    undecided = F.filter("blocks", lambda b: ~b["out"] & (b["main"] == 0))
-    loose = F.transform(
-        undecided,
+def digested(*more: str) -> Column:
+    """Blocks that their elements don't leave out, with digests for texts, and the fields of ``more``."""
+    return F.transform(
+        F.filter("blocks", lambda b: ~b["out"]),
         lambda b: F.struct(
-            b["path"].alias("path"), F.xxhash64(b["text"]).alias("text"), F.length(b["text"]).alias("chars"), b["links"].alias("links"),
-            b["hinted"].alias("hinted"),
+            b["path"].alias("path"), F.xxhash64(b["text"]).alias("digest"), F.length(b["text"]).alias("chars"), b["links"].alias("links"),
+            b["main"].alias("main"), *(b[name].alias(name) for name in more),
         ),
     )
-    return pages.select("host", "row", "elements", loose.alias("loose"))
+
+
+def outlines(pages: DataFrame) -> DataFrame:
+    """``(host, row, elements, blocks, contents)`` of parsed pages: what templates are made from, with digests for texts.
+
+    ``contents`` are digests of all text in no main element, in the main element, and in articles.
+    """
+    contents = F.array(*(
+        F.xxhash64(F.transform(F.filter("blocks", lambda b, n=level: b["main"] == n), lambda b: b["digest"])) for level in (0, MAIN, ARTICLE)
+    ))
+    return pages.select("host", "row", "elements", digested("hinted", "times").alias("blocks")).withColumn("contents", contents)
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """``(host, path, text, pages, vector)`` of outlines: elements by path (text NULL) and texts outside the main element, by host.
+    """``(host, path, text, pages, vector)`` of outlines: elements by path (text NULL) and texts by path, by host.
 
-    ``vector`` is a digest of the occurrence vector: of the pages and how often the token is in each.
+    ``vector`` is a digest of the occurrence vector: of the pages and how often the token is in each. It is made of
+    sums, so that repeated rows, which count as pages, don't cancel out; no sum passes 64 bits below 2^27 pages.
     """
-    vector = (F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("row", F.col("times").cast("long"))).alias("vector"))
+    digest = F.xxhash64("row", F.col("times").cast("long"))
+    sums = F.sum(digest.bitwiseAND(F.lit((1 << 36) - 1))), F.sum(F.shiftrightunsigned(digest, 28))
+    vector = (F.count(F.lit(1)).alias("pages"), F.xxhash64(*sums).alias("vector"))
     elements = pages.select("host", "row", F.explode("elements").alias("e")).select("host", "row", "e.*")
     of_paths = elements.groupBy("host", "path").agg(*vector).withColumn("text", F.lit(None).cast("long"))
-    loose = pages.select("host", "row", F.explode("loose").alias("b")).select("host", "row", "b.path", "b.text")
-    of_texts = loose.groupBy("host", "row", "path", "text").agg(F.count(F.lit(1)).alias("times"))
-    return of_paths.unionByName(of_texts.groupBy("host", "path", "text").agg(*vector))
+    blocks = pages.select("host", "row", F.explode("blocks").alias("b"))
+    texts = blocks.select("host", "row", "b.path", F.col("b.digest").alias("text"), "b.times").filter("times > 0")
+    return of_paths.unionByName(texts.groupBy("host", "path", "text").agg(*vector))
 
 
 def templates(counted: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -292,47 +315,77 @@ def slots(pages: DataFrame, template: DataFrame) -> DataFrame:
     """``(host, closed, open, fixed)``: one row per host, as long as its template.
 
     A slot is a path of the template that blocks of text stand in. ``closed`` slots hold no main text, as their
-    text hardly varies or is links; ``open`` ones do. ``fixed`` are template texts: those in a class with an
-    element, so that they come exactly as often as it. Slots whose elements say what they are need no entry.
+    text hardly varies or is links; ``open`` ones do. In an article or main element only both close a slot. Texts
+    that equal pages repeat count once. ``fixed`` are template texts: those in a class with an element, so that
+    they come exactly as often as it. Slots whose elements leave them out need no entry.
     """
-    loose = pages.select("host", F.explode("loose").alias("b")).select("host", "b.*")
-    stated = loose.groupBy("host", "path").agg(
-        F.count(F.lit(1)).alias("blocks"), F.approx_count_distinct("text").alias("different"), F.sum("links").alias("links"),
-        F.sum("chars").alias("chars"), F.bool_or("hinted").alias("hinted"),
+    blocks = pages.select("host", "contents", F.explode("blocks").alias("b")).select("host", "contents", "b.*")
+    content = F.element_at("contents", F.col("main") + 1)
+    stated = blocks.groupBy("host", "path").agg(
+        F.approx_count_distinct(F.xxhash64(content, "digest")).alias("placed"), F.approx_count_distinct("digest").alias("different"),
+        F.sum("links").alias("links"), F.sum("chars").alias("chars"), F.bool_or("hinted").alias("hinted"), F.max("main").alias("main"),
     )
     paths = template.select("host", F.explode("elements.path").alias("path"))
-    varies = (F.col("different") >= VARIED * F.col("blocks")) & (F.col("links") <= MOST_LINKS * F.col("chars"))
-    judged = stated.join(paths, ["host", "path"]).withColumn("varies", varies | F.col("hinted"))
+    varies = F.col("different") >= VARIED * F.col("placed")
+    unlinked = F.col("links") <= MOST_LINKS * F.col("chars")
+    holds = F.when(F.col("main") > 0, varies | unlinked).otherwise((varies & unlinked) | F.col("hinted"))
+    judged = stated.join(paths, ["host", "path"]).withColumn("holds", holds)
     by_host = judged.groupBy("host").agg(
-        F.collect_set(F.when(~F.col("varies"), F.col("path"))).alias("closed"),
-        F.collect_set(F.when(F.col("varies"), F.col("path"))).alias("open"),
+        F.collect_set(F.when(~F.col("holds"), F.col("path"))).alias("closed"), F.collect_set(F.when(F.col("holds"), F.col("path"))).alias("open")
     )
     fixed = template.filter(F.size("elements") > 0).select("host", F.explode("texts").alias("t"))
     return by_host.join(fixed.groupBy("host").agg(F.collect_set("t").alias("fixed")), "host", "full")
 
 
-def chosen(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """The text of each page: of its main element, else of the slots that are open or that its host has not judged."""
-    level = F.array_max(F.transform("blocks", lambda b: b["main"]))
+def placed(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``pages`` with those of their ``blocks`` that are in slots with main text, and ``fixed`` in each for template text.
+
+    Slots of the host decide; where it has not judged a path, links do outside main elements. Of a page with a
+    main element, the blocks are those of its articles, or those outside them if they have far more text.
+    """
     told = lambda name, value: F.coalesce(F.array_contains(name, value), F.lit(False))
-    wanted = F.filter(
+    held = F.filter(
         "blocks",
-        lambda b: F.when(F.col("level") > 0, b["main"] == F.col("level")).otherwise(
-            ~b["out"] & ~told("closed", b["path"])
-            & ~told("fixed", F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("text")))
-            & (told("open", b["path"]) | (b["links"] <= MOST_LINKS * F.length(b["text"])))
-        ),
+        lambda b: ~told("closed", b["path"]) & ((b["main"] > 0) | told("open", b["path"]) | (b["links"] <= MOST_LINKS * b["chars"])),
+    )
+    chars = lambda level: F.aggregate(
+        "blocks", F.lit(0).cast("long"), lambda n, b: n + F.when(b["main"] == level, b["chars"]).otherwise(0)
+    )
+    highest = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["main"])), F.lit(0))
+    level = F.when((F.col("highest") == ARTICLE) & (chars(MAIN) > MAIN_TO_ARTICLE * chars(ARTICLE)), MAIN).otherwise(F.col("highest"))
+    marked = F.transform(
+        F.filter("blocks", lambda b: b["main"] == F.col("level")),
+        lambda b: b.withField("fixed", told("fixed", F.struct(b["path"].alias("path"), b["digest"].alias("text")))),
     )
+    joined = pages.withColumn("highest", highest).join(found, "host", "left")
+    return joined.withColumn("blocks", held).withColumn("level", level).withColumn("blocks", marked)
+
+
+def settled(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` without the template texts that are nearly all the main text of their pages: copies of one article."""
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + b["chars"])
+    fixed = F.filter("blocks", lambda b: b["fixed"])
+    given = pages.join(found.filter(F.size("fixed") > 0).select("host"), "host", "left_semi")
+    marked = placed(given, found).select("host", fixed.alias("texts"), chars(fixed).alias("repeated"), chars("blocks").alias("chars"))
+    texts = marked.select("host", "repeated", "chars", F.explode("texts").alias("b")).groupBy("host", "b.path", "b.digest")
+    shares = texts.agg(F.sum("repeated").alias("repeated"), F.sum("chars").alias("chars")).filter(F.col("repeated") < COPIED * F.col("chars"))
+    kept = shares.groupBy("host").agg(F.collect_set(F.struct("path", F.col("digest").alias("text"))).alias("fixed"))
+    return found.drop("fixed").join(kept, "host", "left")
+
+
+def chosen(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """The text of each page: what its host's slots hold, without the text of the template."""
+    given = pages.select("page_id", "url", "host", digested("text").alias("blocks"))
+    wanted = F.filter("blocks", lambda b: ~b["fixed"])
     text = F.array_join(F.transform(wanted, lambda b: b["text"]), "\n\n")
-    joined = pages.drop("elements").join(found, "host", "left").withColumn("level", level)
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return placed(given, found).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
-    The blocks of the article, or else the main element, if there is one, and otherwise those of the host's
-    slots that hold main text, without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+    The blocks in the host's slots that hold main text, those of the article or the main element if there is one,
+    without text of the host's template, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
     and comments, in page order, joined by two line breaks. A NULL or empty page, or one without such text,
     gives an empty text; a NULL or broken url is of the host ''; NULL ids and repeated rows stay; other
     columns are not read.
@@ -340,6 +393,6 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     with Scratch(pages.sparkSession, "html-text") as scratch:
         stored = scratch.store(outlines(parsed(pages)), "outlines")
         template = scratch.store(templates(scratch.store(tokens(stored), "tokens"), min_pages), "template")
-        found = materialize(slots(stored, template), "html-slots")
+        found = materialize(settled(stored, scratch.store(slots(stored, template), "slots")), "html-slots")
     # Pages are parsed a second time, which costs less than storing all their text in between.
     return chosen(parsed(pages), found)

@@ -90,3 +90,56 @@ def test_copies_of_one_article_are_no_template(spark):
     copies = [(i, "http://same.example/", "<html><body><nav>n</nav><article><p>the same</p></article></body></html>", "") for i in range(9)]
     found = html_text.extract(spark.createDataFrame(copies, "page_id long, url string, html string, x string")).collect()
     assert {r.text for r in found} == {"the same"} and len(found) == 9
+
+
+def texts_of(spark, sources, host="one.example"):
+    rows = [(i, f"http://{host}/{i}", source) for i, source in enumerate(sources)]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_template_inside_an_article(spark):
+    sources = [
+        f"<html><body><article><h1>Title {i}</h1><div class=tools><a href=p>Print</a> <a href=m>Mail</a></div><p>story {i} begins</p>"
+        f"<ul><li><a href=t>topic {i % 2}</a></li></ul><p>Made by us</p><p>it ends {i}, see <a href=x>this</a></p>"
+        f"<ol><li><a href=r>source {i}</a></li></ol></article></body></html>"
+        for i in range(12)
+    ]
+    # Text of every page and a box of few links go; a list of links of the article's own stays.
+    assert texts_of(spark, sources) == [f"Title {i}\n\nstory {i} begins\n\nit ends {i}, see this\n\nsource {i}" for i in range(12)]
+
+
+def test_article_in_a_main_element_that_holds_the_text(spark):
+    pages = [
+        f"<html><body><main><h1>Title {i}</h1><p>the story of page {i} is told here at length</p><article><p>next: {i}</p></article></main></body></html>"
+        for i in range(9)
+    ]
+    assert texts_of(spark, pages) == [f"Title {i}\n\nthe story of page {i} is told here at length" for i in range(9)]
+    assert texts_of(spark, pages[:1]) == ["Title 0\n\nthe story of page 0 is told here at length"]
+    around = [f"<main><p>by {i}</p><article><p>the story of page {i} is told here</p></article></main>" for i in range(9)]
+    assert texts_of(spark, around) == [f"the story of page {i} is told here" for i in range(9)]
+
+
+def test_copies_and_near_copies_keep_their_articles(spark):
+    menu = "<html><body><nav>menu {i}</nav><article>"
+    copies = [menu.format(i=i) + "<h1>Title</h1><p>one</p><p>two</p><ul><li><a href=x>list</a></ul></article>" for i in range(9)]
+    assert texts_of(spark, copies) == ["Title\n\none\n\ntwo\n\nlist"] * 9
+    long = " ".join(["told"] * 100)
+    near = [menu.format(i=i) + f"<h1>Title</h1><p>{long}</p><p>now {i}</p></article>" for i in range(9)]
+    assert texts_of(spark, near) == [f"Title\n\n{long}\n\nnow {i}" for i in range(9)]
+    others = [f"<html><body><nav>x</nav><article><p>other {i}</p><p>Made by us</p></article>" for i in range(9)]
+    section = [f"<html><body><nav>{i}</nav><article class=review><p>{long}</p></article>" for i in range(4)]
+    assert texts_of(spark, section + others) == [long] * 4 + [f"other {i}" for i in range(9)]
+
+
+def test_repeated_rows_are_no_template(spark):
+    # Pages 0 and 1 have an element of their own, 0 and 2 a text: these are different pages, though as many.
+    shared = {0: "both", 2: "both"}
+    rows = [
+        (i, "http://two.example/", f"<html><body><article><div class={'aabbccdd'[i]}><p>page {i}</p></div><p>{shared.get(i, f'own {i}')}</p></article>")
+        for i in range(8)
+    ]
+    single = (8, "http://two.example/", "<html><body><article><div class=ee><p>page 8</p></div></article>")
+    found = html_text.extract(spark.createDataFrame(rows * 2 + [single], "page_id long, url string, html string")).collect()
+    wanted = [(i, f"page {i}\n\n{shared.get(i, f'own {i}')}") for i in range(8)]
+    assert sorted((r.page_id, r.text) for r in found) == [*sorted(wanted * 2), (8, "page 8")]

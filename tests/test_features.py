@@ -326,3 +326,47 @@ def test_similarity_of_equal_and_foreign_texts(spark):
     df = spark.createDataFrame(rows, "row_id long, body string, rule string, example string")
     got = {r.row_id: (r.similarity_rule, r.similarity_example) for r in similarity.similarity_features(df, ["body", "rule", "example"]).collect()}
     assert got[1] == (pytest.approx(1.0), 0.0) and got[2][0] == 0.0 and 0.7 < got[2][1] < 1 and got[3] == (0.0, 0.0)
+
+
+ODD = ["한국어 단어", "x" * 300, "ﬁne gap\0nul", "áb 𝒳𝒴𝒵 42_", " \n ", "", None, "w1 w1 w2 w1", "😀😀😀 ok"]
+
+
+@pytest.mark.parametrize("bits", [terms.CHAR_BITS, 5, 2])
+def test_keys_of_characters_equal_brute_force(monkeypatch, spark, bits):
+    """Sums by fold and vectors, also where a task or a single slice has more characters than keys have room for."""
+    df = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(ODD + TEXTS)], "row_id long, fold int, text string")
+    rows = terms.analysed(df, "text", keep=["fold"])
+    folded = rows.select("row_id", "fold", "folded").toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(terms, "CHAR_BITS", bits)
+    monkeypatch.setattr(terms, "SLICE_CHARS", 40)
+    ranges = terms.word_ranges(spark)
+    found = pa.Table.from_batches(terms.add_up(2, ["word", "char"], 1 << 18, ranges)([folded])).to_pylist()
+    sums, wanted = Counter(), Counter()
+    for r in found:
+        for f in (0, 1):
+            sums[r["block"], r["term"], f] += r[f"df_{f}"]
+            sums[r["block"], r["term"], f, "tf"] += r[f"tf_{f}"]
+    for i, text in enumerate(ODD + TEXTS):
+        for block, brute in (("word", python_words), ("char", python_chars)):
+            for term, n in brute(text or "").items():
+                wanted[block, term, i % 2] += 1
+                wanted[block, term, i % 2, "tf"] += n
+    assert +sums == wanted
+    given = {b: sorted({t for k, t, *_ in wanted if k == b})[::2] for b in ("word", "char")}
+
+    class Shared:
+        value = given
+
+    made = pa.Table.from_batches(terms.look_up(Shared, len(given["word"]), ranges)([folded])).to_pylist()
+    names = given["word"] + given["char"]
+    for r in made:
+        text = (ODD + TEXTS)[r["row_id"]] or ""
+        counts = {**{i: python_words(text)[t] for i, t in enumerate(given["word"])}, **{len(given["word"]) + i: python_chars(text)[t] for i, t in enumerate(given["char"])}}
+        assert dict(zip(r["indices"], r["tfs"], strict=True)) == {i: n for i, n in counts.items() if n} and r["indices"] == sorted(r["indices"])
+
+
+def test_statistics_cut_no_words_in_the_jvm(labelled):
+    """Only folded texts leave the JVM."""
+    found = terms.statistics(terms.analysed(labelled[1].withColumn("fold", F.col("label")), "text", keep=["fold"]), 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
